@@ -34,8 +34,8 @@ def inline_segments(reports: DataFrame, ids: list[str], text: str = "text") -> D
     body = F.substr(F.col(text), at + len(BODY_MARK))
     slim = reports.filter(at > 0).select(*ids, body.alias("_body"))
     clean = drop_space(F.regexp_replace(F.regexp_replace("_body", INLINE_MARK, ""), FURNITURE, ""))
-    chars = F.regexp_extract_all("_body", F.lit(INLINE_MARK), F.lit(2)).cast("array<int>")
-    pcts = F.regexp_extract_all("_body", F.lit(INLINE_MARK), F.lit(1)).cast("array<double>")
+    chars = F.transform(F.regexp_extract_all("_body", F.lit(INLINE_MARK), F.lit(2)), lambda n: n.cast("int"))
+    pcts = F.transform(F.regexp_extract_all("_body", F.lit(INLINE_MARK), F.lit(1)), lambda p: p.try_cast("double"))
     marks = F.arrays_zip(pcts.alias("pct"), chars.alias("n"))
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<pct:double,pos:int,n:int>>").alias("segs"))
     segs = F.aggregate(

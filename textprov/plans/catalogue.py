@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_scores, queries_text  # noqa: F401
+from . import queries_corpus, queries_scores, queries_text  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
 

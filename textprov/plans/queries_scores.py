@@ -203,9 +203,11 @@ def fea14_stock_phrases(spark, d):
 # --- language model ----------------------------------------------------------------------------------------------
 
 _LM_TOK = rf"regexp_extract_all({D.drop_sql('text')}, '[\x{{4e00}}-\x{{9fff}}]|[A-Za-z0-9]+|[^\x{{4e00}}-\x{{9fff}}A-Za-z0-9]')"
+_WORDS_SQL = "SELECT doc_id, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM {src}) WINDOW o AS (PARTITION BY doc_id ORDER BY i)"
+_GRAMS_SQL = "SELECT doc_id, w || chr(1) || w2 || chr(1) || w3 AS g, w || chr(1) || w2 AS x FROM ({words}) WHERE w3 IS NOT NULL"
 _LM_CTES = f"""
 tok AS (SELECT doc_id, {_LM_TOK} AS t FROM (SELECT doc_id, {D.han_sql('text')} AS text FROM documents)),
-grams AS (SELECT doc_id, t[i:i + 2] AS g, t[i:i + 1] AS x FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM tok)),
+grams AS MATERIALIZED ({_GRAMS_SQL.format(words=_WORDS_SQL.format(src='tok'))}),
 ng AS (SELECT g, count(*) AS c FROM grams GROUP BY g),
 cx AS (SELECT x, count(*) AS cn FROM grams GROUP BY x),
 st AS (SELECT (SELECT count(*) FROM grams) AS total, (SELECT count(DISTINCT w) FROM (SELECT unnest(t) AS w FROM tok)) AS vocab)
@@ -216,7 +218,7 @@ def _lm(spark, d):
     return LM.train(D.han_documents(spark, d))
 
 
-@query("fea18_ngram_model", sql=f"WITH {_LM_CTES} SELECT md5(array_to_string(g, chr(1))) AS gram_hash, c FROM ng")
+@query("fea18_ngram_model", sql=f"WITH {_LM_CTES} SELECT md5(g) AS gram_hash, c FROM ng")
 def fea18_ngram_model(spark, d):
     return _lm(spark, d).ngrams.select(F.md5("gram").alias("gram_hash"), "c")
 
@@ -231,7 +233,7 @@ def fea18_ngram_totals(spark, d):
 _LM_EVEN = _LM_CTES.replace("FROM documents)", "FROM documents WHERE doc_id % 2 = 0)", 1)
 _LM_SCORED = f"""
 q AS (SELECT doc_id, {_LM_TOK} AS t FROM (SELECT doc_id, {D.han_sql('text')} AS text FROM documents)),
-qg AS (SELECT doc_id, t[i:i + 2] AS g, t[i:i + 1] AS x FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM q)),
+qg AS ({_GRAMS_SQL.format(words=_WORDS_SQL.format(src='q'))}),
 pr AS (SELECT doc_id, qg.g, CASE WHEN cn IS NULL THEN 1.0::DOUBLE / (total + vocab + 1) ELSE (coalesce(c, 0) + 1)::DOUBLE / (cn + vocab + 1) END AS p
        FROM qg LEFT JOIN ng ON qg.g = ng.g LEFT JOIN cx ON qg.x = cx.x, st),
 pp AS (SELECT doc_id, exp(-avg(ln(greatest(p, 1e-12)))) AS perplexity FROM pr GROUP BY doc_id)
@@ -515,7 +517,7 @@ def win6_inline_segments(spark, d):
     docs = D.han_documents(spark, d).withColumn("l", T.zh_sentences("text"))
     pct = lambda i: ((F.col("doc_id") + i) % 100).cast("string")
     body = F.array_join(F.transform("l", lambda s, i: F.concat(
-        s, pct(i), F.lit("%("), F.length(T.drop_space(s)).cast("string"), F.lit(")"))), "\n")
+        s, F.lit("\n"), pct(i), F.lit("%("), F.length(T.drop_space(s)).cast("string"), F.lit(")"))), "\n")
     rows = docs.select("doc_id", F.concat(F.lit("知网 原文内容"), body).alias("text"))
     out = REP.inline_segments(rows, ["doc_id"])
     return out.select("doc_id", big("seg_idx").alias("seg_idx"), big("sent_idx").alias("sent_idx"), "sentence", "prob", "label")
@@ -544,23 +546,25 @@ def win7_merged_runs(spark, d):
 
 
 # report pages: paragraphs of the pages become annotated spans with a popover
-_EM_HTML = (r"<em class=\"{level}\">\1</em> <div class=\"x aigc-detection-chance-popover\">AI生成的可能性为：<i class=\"n\">{pct}%</i></div>")
 _LEVEL = "CASE page_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END"
 _INNER_SQL = f"""
 SELECT page_id, i AS span_idx, p[i + 1] AS inner_html, CAST(page_id * 7 % 101 AS DOUBLE) AS pct, {_LEVEL} AS level FROM (
   SELECT page_id, p, unnest(range(len(p))) AS i FROM (
-    SELECT page_id, regexp_extract_all({D.han_sql('html')}, '<了>([^<]*)</了>', 1) AS p FROM (SELECT page_id, replace(html, '<p>', '<b>') AS html FROM pages)))
+    SELECT page_id, regexp_extract_all({D.han_sql('html')}, '<就>([^<]*)</就>', 1) AS p FROM pages))
 """
 
 
-def _report_pages(spark, d):
-    """Bold spans of the pages (after the letter map) as annotated spans."""
-    html = D.han_text(F.replace("html", F.lit("<p>"), F.lit("<b>")))
+def mark_pages(pages):
+    """Plain paragraphs of the pages, after the letter map, as annotated spans with a popover each."""
     lead = F.concat(F.lit('<em class="'), F.expr(_LEVEL), F.lit(' x">'))
     pop = F.concat(F.lit('</em> <div class="y aigc-detection-chance-popover">AI生成的可能性为：<i class="n">'),
                    (F.col("page_id") * 7 % 101).cast("string"), F.lit("%</i></div>"))
-    marked = F.regexp_replace(html, F.lit("<了>([^<]*)</了>"), F.concat(lead, F.lit("$1"), pop))
-    return read_table(spark, d, "pages", ["page_id", "html"]).select("page_id", marked.alias("html"))
+    marked = F.regexp_replace(D.han_text("html"), F.lit("<就>([^<]*)</就>"), F.concat(lead, F.lit("$1"), pop))
+    return pages.select("page_id", marked.alias("html"))
+
+
+def _report_pages(spark, d):
+    return mark_pages(read_table(spark, d, "pages", ["page_id", "html"]))
 
 
 _PLAIN = (f"replace(replace(replace(replace(replace(replace({D.trim_sql('inner_html')}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), "
