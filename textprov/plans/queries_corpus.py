@@ -274,7 +274,7 @@ def sam3_generator_cap(spark, d):
 
 @query("sam4_balance", sql=f"""
 SELECT doc_id FROM documents WHERE doc_id % 5 <> 0 ORDER BY CASE WHEN source IN ('src0', 'src5') THEN 0 ELSE 1 END, {D.order_sql('doc_id', 2)}
-LIMIT (SELECT CAST(floor(count(*) * 2.3) AS BIGINT) FROM documents WHERE doc_id % 5 = 0)
+LIMIT (SELECT CAST(floor(count(*) * 2.3::DOUBLE) AS BIGINT) FROM documents WHERE doc_id % 5 = 0)
 """)
 def sam4_balance(spark, d):
     docs = _doc_table(spark, d, "source")
@@ -283,7 +283,7 @@ def sam4_balance(spark, d):
 
 
 @query("sam5_increment_target", sql=f"""
-SELECT CAST(least(9000, greatest(floor(count(*) FILTER (label = 0) / 2.3) - count(*) FILTER (label = 1), 1000)) AS BIGINT) AS k FROM {D.SCORED_ROWS}
+SELECT CAST(least(9000, greatest(floor(count(*) FILTER (label = 0) / 2.3::DOUBLE) - count(*) FILTER (label = 1), 1000)) AS BIGINT) AS k FROM {D.SCORED_ROWS}
 """)
 def sam5_increment_target(spark, d):
     rows = D.scored_rows(spark, d).select("label")
@@ -404,11 +404,11 @@ _LAB5 = f"""
 WITH r AS (SELECT {D.ROW_ID} AS id, source, sent_idx % 4 AS part, CASE WHEN sent_idx % 5 = 0 THEN NULL ELSE p END AS prob FROM {D.SCORED_ROWS}),
 base_ai AS (SELECT id FROM r WHERE part = 0 AND coalesce(prob, 0.5) >= 0.4),
 loc AS (SELECT id FROM r WHERE part = 1 UNION ALL SELECT id FROM r WHERE part = 0 AND coalesce(prob, 0.5) < 0.4),
-tgt AS (SELECT least(9000, greatest(floor(((SELECT count(*) FROM loc) + (SELECT count(*) FROM r WHERE part = 3)) / 2.3) - (SELECT count(*) FROM base_ai), 1000)) AS k),
+tgt AS (SELECT least(9000, greatest(floor(((SELECT count(*) FROM loc) + (SELECT count(*) FROM r WHERE part = 3)) / 2.3::DOUBLE) - (SELECT count(*) FROM base_ai), 1000)) AS k),
 cap AS (SELECT id, row_number() OVER (ORDER BY source, h) AS o FROM (
   SELECT id, source, {D.order_sql('id', 2)} AS h, row_number() OVER (PARTITION BY source ORDER BY {D.order_sql('id', 2)}) AS q FROM r WHERE part = 2) WHERE q <= 30),
 ai AS (SELECT id FROM base_ai UNION ALL SELECT id FROM cap WHERE o <= (SELECT k FROM tgt)),
-m AS (SELECT floor(count(*) * 2.3) AS k FROM ai),
+m AS (SELECT floor(count(*) * 2.3::DOUBLE) AS k FROM ai),
 fill AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY CASE WHEN source = 'src3' THEN 0 ELSE 1 END, {D.order_sql('id', 2)}) AS o FROM r WHERE part = 3)
   WHERE o <= (SELECT k FROM m) - (SELECT count(*) FROM loc)),
 hum AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY {D.order_sql('id', 2)}) AS o FROM (SELECT id FROM loc UNION ALL SELECT id FROM fill)) WHERE o <= (SELECT k FROM m))
