@@ -763,7 +763,6 @@ def _labelled(spark, d):
 @query("fea15_char_tfidf")
 def fea15_char_tfidf(spark, d):
     rows = _labelled(spark, d)
-    from pyspark.ml.functions import vector_to_array  # noqa: F401
     v = M.TextVectoriser().fit(rows).transform(rows)
     u = F.unwrap_udt("features")
     return v.select("id", big(F.size(u["indices"])).alias("n_terms"), r6(F.aggregate(u["values"], F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
@@ -781,7 +780,7 @@ def fea16_word_tfidf(spark, d):
 def sco3_batch_scores(spark, d):
     """Classifier trained on half of the sentences (vectoriser, SCO1 models, SCO2 sigmoids), applied to all."""
     rows = C.split_by_hash(_labelled(spark, d), "id", 0.5, seed=1)
-    model = M.fit_classifier(rows.filter("split = 'a'"), "id")
+    model = M.fit_classifier(rows.filter("split = 'a'"), "id", max_iter=15)
     return model.score(rows).select("id", "label", "split", F.round("p_stat", 4).alias("p_stat"))
 
 
@@ -804,4 +803,4 @@ def lab6_recipe_comparison(spark, d):
     """Three training recipes on one fixed test set: character n-grams, with style figures, with confident extra rows."""
     from .train import compare_recipes
     rows = C.split_by_hash(_labelled(spark, d), "id", 0.5, seed=1)
-    return compare_recipes(rows.filter("split = 'a'").drop("split"), rows.filter("split = 'b'").drop("split"), "id")
+    return compare_recipes(rows.filter("split = 'a'").drop("split"), rows.filter("split = 'b'").drop("split"), "id", max_iter=10)
