@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import drop_space, let
+from ..session import cut_lineage
 
-JOIN = "\u0001"
+JOIN, WORD = "\u0001", "\u0002"
 DEFAULT_BASE = 20000.0
 
 
 def default_tokens(text: Column) -> Column:
     """Single Han characters, runs of Latin letters and digits, other characters; white space is removed first.
 
-    Any word segmenter can take its place, for example a pandas UDF returning an array of words.
+    U+0001 and U+0002 mark n-grams and words in the counts and are removed. Any word segmenter can take its place, for example a pandas UDF returning an array of words.
     """
-    return F.regexp_extract_all(drop_space(text), F.lit(V.LM_TOKEN), F.lit(0))
+    return F.regexp_extract_all(drop_space(F.translate(text, JOIN + WORD, "")), F.lit(V.LM_TOKEN), F.lit(0))
 
 
 @dataclass
@@ -43,32 +44,32 @@ class NgramModel:
 
 
 def _grams(tokens: Column, n: int) -> Column:
-    """Structs (gram, ctx) of a token array, empty for fewer than n tokens."""
+    """The n-grams of a token array as joined strings, empty for fewer than n tokens."""
     def build(tok: Column) -> Column:
         count = F.size(tok) - (n - 1)
-        return F.when(count <= 0, F.array().cast("array<struct<gram:string,ctx:string>>")).otherwise(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-                lambda i: F.struct(
-                    F.array_join(F.slice(tok, i, F.lit(n)), JOIN).alias("gram"),
-                    F.array_join(F.slice(tok, i, F.lit(n - 1)), JOIN).alias("ctx"),
-                ),
-            )
+        joined = lambda i: F.concat_ws(JOIN, *[F.get(tok, i + k) for k in range(n)])
+        return F.when(count <= 0, F.array().cast("array<string>")).otherwise(
+            F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), joined)
         )
     return let(tokens, build)
 
 
+def _context(gram: str, n: int) -> Column:
+    return F.substring_index(gram, JOIN, n - 1)
+
+
 def train(texts: DataFrame, text: str = "text", n: int = 3,
           tokens: Callable[[Column], Column] = default_tokens) -> NgramModel:
-    """Count n-grams, their contexts and the vocabulary. Contexts are summed from the n-gram counts, not the text."""
-    tok = texts.select(tokens(F.col(text)).alias("tok"))
-    grams = tok.select(F.explode(_grams(F.col("tok"), n)).alias("g")).select("g.gram", "g.ctx")
-    counted = grams.groupBy("gram", "ctx").agg(F.count("*").alias("c"))
-    contexts = counted.groupBy("ctx").agg(F.sum("c").alias("cn"))
-    words = tok.select(F.explode(F.array_distinct("tok")).alias("w")).groupBy("w").agg(F.lit(1).alias("one"))
-    total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"))
-    stats = total.withColumn("vocab", words.agg(F.count("*").alias("v")).scalar())
-    return NgramModel(n, counted.select("gram", "c"), contexts, stats, tokens)
+    """Count n-grams and different words in one pass over the texts, into a checkpoint; contexts and totals follow
+    from the counts. Texts shorter than n add words but no n-grams."""
+    items = let(tokens(F.col(text)), lambda tok: F.concat(
+        _grams(tok, n), F.transform(F.array_distinct(tok), lambda w: F.concat(F.lit(WORD), w))))
+    counted = cut_lineage(texts.select(F.explode(items).alias("gram")).groupBy("gram").agg(F.count("*").alias("c")))
+    is_word = F.col("gram").startswith(WORD)
+    ngrams = counted.filter(~is_word)
+    contexts = ngrams.groupBy(_context("gram", n).alias("ctx")).agg(F.sum("c").alias("cn"))
+    stats = counted.agg(F.coalesce(F.sum(F.when(~is_word, F.col("c"))), F.lit(0)).alias("total"), F.count_if(is_word).alias("vocab"))
+    return NgramModel(n, ngrams, contexts, stats, tokens)
 
 
 def smoothed(c: Column, cn: Column, total: Column, vocab: Column) -> Column:
@@ -78,23 +79,24 @@ def smoothed(c: Column, cn: Column, total: Column, vocab: Column) -> Column:
 
 
 def gram_probabilities(model: NgramModel, texts: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
-    """One row per text and distinct n-gram: ``ids, gram, times, prob``.
+    """One row per occurrence of an n-gram: ``ids, gram, prob``.
 
-    Repeats inside a text are counted before the look-ups; the counts are joined by key, and a frequent n-gram's rows
-    are split by adaptive skew handling because the model side holds each key once.
+    The different n-grams are found first (occurrences collapse inside each task) and looked up in the two model tables;
+    the occurrences then need a single join. A frequent n-gram's rows are split by adaptive skew handling, because the
+    other side holds each n-gram once.
     """
-    rows = texts.select(*ids, F.explode(_grams(model.tokens(F.col(text)), model.n)).alias("g"))
-    rows = rows.groupBy(*ids, F.col("g.gram").alias("gram"), F.col("g.ctx").alias("ctx")).agg(F.count("*").alias("times"))
-    rows = rows.join(model.ngrams, "gram", "left").join(model.contexts, "ctx", "left")
+    rows = texts.select(*ids, F.explode(_grams(model.tokens(F.col(text)), model.n)).alias("gram"))
+    known = rows.select("gram").distinct().withColumn("ctx", _context("gram", model.n))
+    known = known.join(model.ngrams, "gram", "left").join(model.contexts, "ctx", "left")
     total, vocab = model.stats.select("total").scalar(), model.stats.select("vocab").scalar()
-    return rows.select(*ids, "gram", "times", smoothed(F.col("c"), F.col("cn"), total, vocab).alias("prob"))
+    probs = known.select("gram", smoothed(F.col("c"), F.col("cn"), total, vocab).alias("prob"))
+    return rows.join(probs, "gram")
 
 
 def perplexity(model: NgramModel, texts: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     """Perplexity per text; texts without an n-gram have no row."""
     p = gram_probabilities(model, texts, ids, text)
-    log_p = F.ln(F.greatest(F.col("prob"), F.lit(1e-12)))
-    return p.groupBy(*ids).agg(F.exp(-F.sum(F.col("times") * log_p) / F.sum("times")).alias("perplexity"))
+    return p.groupBy(*ids).agg(F.exp(-F.avg(F.ln(F.greatest(F.col("prob"), F.lit(1e-12))))).alias("perplexity"))
 
 
 def human_base(scored: DataFrame, prob: str = "prob", limit: float = 0.4) -> DataFrame:
