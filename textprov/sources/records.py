@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed_values as V
 from ..functions import report_fields as R
 from ..functions.text import clean_sentence, en_sentences, has_han, is_latin, strip_space, zh_corpus_sentences
+from ..operators.scale import top_n_per_group
 
 ANNOTATION = "text string, prob double, label string, title string, source string, generator string, lang string, guard string, deep_prob double"
 
@@ -130,8 +131,9 @@ def paired_samples(rows: DataFrame, cap: int | None = 6000) -> DataFrame:
     out = _explode_clean(flat, split, F.col("lang"), ["file", "line", "is_ai", "source", "lang"])
     out = out.withColumn("generator", R.paired_generator("file"))
     if cap is not None:
-        # counts per line settle almost every line as a whole; only sentences of the line at the limit are ranked
+        # every line has a sentence, so the first ``cap`` lines of a side suffice; running counts settle them line by line
         per_line = out.groupBy("file", "is_ai", "line").agg(F.count("*").alias("_n"))
+        per_line = top_n_per_group(per_line, ["file", "is_ai"], [F.col("line")], cap, salt_by="line")
         run = Window.partitionBy("file", "is_ai").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
         per_line = per_line.withColumn("_off", F.coalesce(F.sum("_n").over(run), F.lit(0))).filter(F.col("_off") < cap).drop("_n")
         rank = F.row_number().over(Window.partitionBy("file", "is_ai", "line").orderBy("sent_idx"))
