@@ -752,6 +752,25 @@ def str4_stream_counts(spark, d):
     return _counts(spark.read.parquet(target))
 
 
+@query("str2_retrain_due", sql="""
+SELECT CAST(sum(n_new) AS BIGINT) AS n_new, max(batch_id) AS last_batch, sum(n_new) >= 500 AS due FROM (
+  SELECT event_id // 1000 AS batch_id, count(DISTINCT user_id) AS n_new FROM events GROUP BY 1) WHERE batch_id > 2
+""")
+def str2_retrain_due(spark, d):
+    """Events as an ingest log, a thousand to a batch and every batch logged twice; three batches are trained on."""
+    ev = read_table(spark, d, "events", ["event_id", "user_id"])
+    log = ev.groupBy(F.expr("event_id div 1000").alias("batch_id")).agg(F.count_distinct("user_id").alias("n_new"))
+    return STREAM.retrain_due(log.unionByName(log), trained_upto=2)
+
+
+@query("agg15_retention", sql=f"""
+SELECT lang, count(*) AS before, count(*) FILTER (lang = 'fr' OR p < 0.7) AS after FROM {D.SCORED_ROWS} GROUP BY lang
+""")
+def agg15_retention(spark, d):
+    pool = C.guard_pool(D.scored_rows(spark, d, "lang"), threshold=0.7, trusted="fr", source="lang")
+    return C.retention(pool, "lang")
+
+
 # --- models ------------------------------------------------------------------------------------------------------
 
 def _labelled(spark, d):
@@ -776,6 +795,15 @@ def fea16_word_tfidf(spark, d):
     return v.select("id", big(F.size(u["indices"])).alias("n_terms"), r6(F.aggregate(u["values"], F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
 
 
+@query("fea17_style_stack")
+def fea17_style_stack(spark, d):
+    """TF-IDF with the five style figures appended; their sum of squares exceeds the unit norm."""
+    rows = _labelled(spark, d)
+    v = M.TextVectoriser(max_features=5000, with_style=True).fit(rows).transform(rows)
+    u = F.unwrap_udt("features")
+    return v.select("id", r6(F.aggregate(u["values"], F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+
+
 @query("sco3_batch_scores")
 def sco3_batch_scores(spark, d):
     """Classifier trained on half of the sentences (vectoriser, SCO1 models, SCO2 sigmoids), applied to all."""

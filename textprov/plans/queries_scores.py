@@ -255,6 +255,18 @@ def fea19_probabilities(spark, d):
                                    F.count_distinct("gram").alias("n_grams"))
 
 
+@query("joi9_lm_lookup", sql=f"""
+WITH {_LM_EVEN}, {_LM_SCORED}
+SELECT qg.doc_id, count(*) AS n, count(*) FILTER (cn IS NULL) AS unseen FROM qg LEFT JOIN cx ON qg.x = cx.x GROUP BY qg.doc_id
+""")
+def joi9_lm_lookup(spark, d):
+    """Occurrences per document and how many have a context the model never saw."""
+    model, docs = _half_model(spark, d)
+    p = LM.gram_probabilities(model, docs, ["doc_id"])
+    floor = model.stats.select(F.lit(1.0) / (F.col("total") + F.col("vocab") + 1)).scalar()
+    return p.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("prob") == floor).alias("unseen"))
+
+
 @query("fea20_perplexity", sql=f"WITH {_LM_EVEN}, {_LM_SCORED} SELECT doc_id, round(perplexity, 4) AS perplexity FROM pp")
 def fea20_perplexity(spark, d):
     model, docs = _half_model(spark, d)
