@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import query_decontaminate, query_token_files, query_toxicity  # noqa: F401
+from . import query_decontaminate, query_line_dedup, query_token_files, query_toxicity  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
