@@ -8,10 +8,14 @@ so a worker keeps their ids in a table of bounded size.
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections.abc import Callable, Iterable
 
-#: So many chunks are kept by a worker; then the table starts anew.
-KEPT_CHUNKS = 400_000
+import numpy as np
+
+#: So many chunks are kept by a worker in each of two generations; chunks in use move to the younger one.
+KEPT_CHUNKS = 300_000
 
 #: White space as the tokenizers library's regular expressions see it (not Python's, which adds four control characters).
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -25,19 +29,53 @@ class ChunkMemo:
     def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], chunk: re.Pattern = CHUNK, kept: int = KEPT_CHUNKS) -> None:
         self.encode_many, self.find, self.kept = encode_many, chunk.findall, kept
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunks = [self.find(t) for t in texts]
-        table = self.table
-        new = list(set().union(*chunks).difference(table)) if chunks else []
-        if len(table) + len(new) > self.kept:
-            self.table = table = {}
-            new = list(set().union(*chunks))
+        if len(self.table) > self.kept:
+            self.table, self.older = {}, self.table
+        table, older = self.table, self.older
+        absent = set().union(*chunks).difference(table)
+        for c in absent.intersection(older):
+            table[c] = older[c]
+        new = list(absent.difference(older))
         table.update(zip(new, self.encode_many(new)))
         get = table.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
 
 
+def chunk_encoder(tokenizer, begins: np.ndarray, plain: Callable[[str], bool]) -> Callable[[list[str]], list[bytes]]:
+    """Encodes lists of chunks. ``plain`` chunks start with one id that is marked in ``begins`` and have no other such id:
+    they are encoded joined, and the marks show where each starts."""
+
+    def encode_many(chunks: list[str]) -> list[bytes]:
+        out, rest = [b""] * len(chunks), range(len(chunks))
+        joined = [i for i in rest if plain(chunks[i])]
+        if joined:
+            ids = np.array(tokenizer.encode_batch_fast(["".join(chunks[i] for i in joined)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(begins[ids])
+            if len(starts) == len(joined) and starts[0] == 0:
+                data, cuts = ids.tobytes(), np.append(starts * 4, len(ids) * 4).tolist()
+                for i, a, b in zip(joined, cuts, cuts[1:]):
+                    out[i] = data[a:b]
+                done = set(joined)
+                rest = [i for i in rest if i not in done]
+        for i, e in zip(rest, tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    return encode_many
+
+
+def worker_memo(key: tuple, make: Callable[[], ChunkMemo]) -> ChunkMemo:
+    """The memo of this Python worker, made once and used by all its tasks."""
+    held = sys.modules.setdefault("_worker_memos", types.ModuleType("_worker_memos")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def batches_of(texts: list[str], size: int) -> Iterable[tuple[int, int]]:
     """Row ranges of about ``size`` characters each, one longer text alone."""
     lo = total = 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe_memo import IS_SPACE, ChunkMemo, batches_of
+from .bpe_memo import IS_SPACE, ChunkMemo, batches_of, chunk_encoder, worker_memo
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -46,26 +46,7 @@ def _encoder(path: str) -> ChunkMemo:
         for token, i in tokenizer.get_vocab().items():
             begins[i] = token[0] == marks[0] or token == marks[1]
 
-    def encode_many(chunks: list[str]) -> list[bytes]:
-        """Chunks with one leading space or line feed are encoded joined: their first tokens show where they start."""
-        plain = [c[0] in " \n" and len(c) > 1 and not IS_SPACE(c[1]) for c in chunks]
-        out: list[bytes] = [b""] * len(chunks)
-        joined = [i for i, p in enumerate(plain) if p]
-        if joined:
-            ids = np.array(tokenizer.encode_batch_fast(["".join(chunks[i] for i in joined)], add_special_tokens=False)[0].ids, "<u4")
-            starts = np.flatnonzero(begins[ids])
-            if len(starts) == len(joined) and starts[0] == 0:
-                data, cuts = ids.tobytes(), np.append(starts * 4, len(ids) * 4).tolist()
-                for i, a, b in zip(joined, cuts, cuts[1:]):
-                    out[i] = data[a:b]
-            else:
-                plain = [False] * len(chunks)
-        rest = [i for i, p in enumerate(plain) if not p]
-        for i, e in zip(rest, tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        return out
-
-    return ChunkMemo(encode_many)
+    return ChunkMemo(chunk_encoder(tokenizer, begins, lambda c: c[0] in " \n" and len(c) > 1 and not IS_SPACE(c[1])))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, encoding: str = "dictionary", partitions: int | None = None) -> None:
@@ -81,7 +62,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, start = _encoder(tokenizer), 0
+        memo, start = worker_memo(("byte level", tokenizer), lambda: _encoder(tokenizer)), 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in batches_of(texts, CALL_CHARS):
