@@ -40,22 +40,39 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_slices(texts: pa.Array, target: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, UTF-8 bytes, row offsets into them); null counts as the empty text."""
+def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = texts.cast(pa.large_string()).fill_null("")
-    n = len(texts)
-    if not n:
-        return
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + n + 1]
-    data = texts.buffers()[2]
-    data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    lo = 0
+    n, buffers = len(texts), texts.buffers()
+    offsets = np.frombuffer(buffers[1], dtype=np.int64)[texts.offset:texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    return offsets, np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8)
+
+
+def text_lengths(texts: pa.Array) -> np.ndarray:
+    """Bytes of every text; 0 for null."""
+    return np.diff(_buffers(texts)[0])
+
+
+def _ranges(offsets: np.ndarray, target: int) -> Iterator[tuple[int, int]]:
+    lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + target, "right")) - 1)
-        yield lo, hi, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+        yield lo, hi
         lo = hi
 
 
+def text_slices(texts: pa.Array, target: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, UTF-8 bytes, row offsets into them); null counts as the empty text."""
+    offsets, data = _buffers(texts)
+    for lo, hi in _ranges(offsets, target):
+        yield lo, hi, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+
+
+def text_lists(texts: pa.Array, target: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[str]]]:
+    """(first row, end row, texts) of slices; null counts as the empty text."""
+    for lo, hi in _ranges(_buffers(texts)[0], target):
+        yield lo, hi, [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
+
+
 class Hasher:
     """64-bit hashes of all words of a slice; keeps the power tables between slices."""
 
