@@ -71,7 +71,7 @@ class SuffixArray:
         key = np.zeros(len(self.ids), np.int64)
         for i in range(k):
             key <<= np.int64(self.bits)
-            key[:len(self.ids) - i] |= self.ids[i:]
+            key[:max(0, len(self.ids) - i)] |= self.ids[i:]
         return key
 
     def find(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ class TestBlock:
 
 def test_block(rows: list[tuple[str, str]], window: int) -> TestBlock:
     hasher = Hasher()
-    windows, lengths, item, item_word = [], [], [], []
+    windows, lengths, item, item_word, seen = [], [], [], [], set()
     names = sorted({name for name, _ in rows})
     number = {name: i for i, name in enumerate(names)}
     texts = pa.array([text for _, text in rows], pa.large_string())
@@ -141,6 +141,9 @@ def test_block(rows: list[tuple[str, str]], window: int) -> TestBlock:
             words = hashes[cut[r - lo]:cut[r - lo + 1]]
             m = min(window, len(words))
             for k in range(len(words) - m + 1 if m else 0):
+                if (entry := (number[rows[r][0]], k, words[k:k + m].tobytes())) in seen:
+                    continue  # a repeated item
+                seen.add(entry)
                 windows.append(np.pad(words[k:k + m], (0, window - m)))
                 lengths.append(m)
                 item.append(number[rows[r][0]])
