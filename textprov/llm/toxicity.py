@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_lists
+
 BUCKETS = 1 << 20
 SIZES = (3, 4, 5)
 MAX_FIT_ROWS = 20_000
 #: Least distance of a log-count ratio from 0, in standard errors.
 LEAST_Z = 4.0
-SLICE_CHARS = 1 << 20
+SLICE_BYTES = 256 << 10
 
 _STEP, _LAST = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,16 +49,10 @@ class Model:
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, code points of the lower-cased texts with a space before and after each, row offsets)."""
-    rows, lo = texts.to_pylist(), 0
-    while lo < len(rows):
-        hi, total, parts = lo, 0, []
-        while hi < len(rows) and (not parts or total + len(rows[hi] or "") <= SLICE_CHARS):
-            parts.append(f" {(rows[hi] or '').lower()} ")
-            total += len(parts[-1])
-            hi += 1
+    for lo, hi, rows in text_lists(texts, SLICE_BYTES):
+        parts = [f" {t.lower()} " for t in rows]
         codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
         yield lo, hi, codes, np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        lo = hi
 
 
 def _ngrams(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -149,7 +145,7 @@ def fit(
     sample = _labelled(docs, F.broadcast(some), doc_id, text, label_id, label).select("text", "label")  # max_fit_rows ids at most
     vector = F.udf(lambda i, v: SparseVector(width, i, v), VectorUDT())
     rows = sample.mapInArrow(features, "label double, indices array<int>, values array<double>").select("label", vector("indices", "values").alias("features"))
-    fitted = LogisticRegression(regParam=penalty, standardization=False, maxIter=100, family="binomial").fit(rows)
+    fitted = LogisticRegression(regParam=penalty, standardization=False, maxIter=100, tol=1e-5, family="binomial").fit(rows)
     return Model(chosen, np.asarray(fitted.coefficients) * scale, float(fitted.intercept))
 
 
