@@ -186,22 +186,22 @@ def agreement(df: DataFrame, thresholds: Sequence[float] = (0.5, 0.45, 0.4), sco
 
 # --- audits and counts -------------------------------------------------------------------------------------------
 
-def audit_pools(df: DataFrame, pool: str, ids, sample: int = 800, min_han: int = 20, require_han: bool = True,
+def audit_pools(df: DataFrame, pool: str, ids, sample: int | None = None, min_han: int = 20, require_han: bool = True,
                 text: str = "text", expect: str = "expect", seed: int = 3) -> DataFrame:
-    """Per pool, over a hash-ordered sample: size, mean Han length, share with stock phrases, warning for human pools."""
+    """Per pool, over all rows or a hash-ordered sample of each: size, mean Han length, share with stock phrases, warning
+    for human pools."""
     rows = df.filter(han_count(text) >= min_han) if require_han else df
-    k = rows.groupBy(pool).agg(F.lit(int(sample)).alias("k"))
-    rows = first_k(rows, ids, k, seed, group=[pool])
+    rows = _audited(rows, pool, ids, sample, seed)
     rate = F.avg((stock_phrase_hits(text) >= 1).cast("double"))
     out = rows.groupBy(pool, expect).agg(F.count("*").alias("n"), rate.alias("phrase_rate"), F.avg(han_count(text)).alias("mean_len"))
     return out.withColumn("warn", (F.col(expect) == "human") & (F.col("phrase_rate") > 0.15))
 
 
-def audit_scores(df: DataFrame, pool: str, ids, sample: int = 400, score: str = "p", expect: str = "expect",
+def audit_scores(df: DataFrame, pool: str, ids, sample: int | None = None, score: str = "p", expect: str = "expect",
                  seed: int = 7) -> DataFrame:
-    """Per pool, over a hash-ordered sample: mean score, share on the wrong side of one half, warning above a tenth."""
-    k = df.groupBy(pool).agg(F.lit(int(sample)).alias("k"))
-    rows = first_k(df, ids, k, seed, group=[pool])
+    """Per pool, over all rows or a hash-ordered sample of each: mean score, share on the wrong side of one half, warning
+    above a tenth."""
+    rows = _audited(df, pool, ids, sample, seed)
     wrong = F.when(F.col(expect) == "human", F.col(score) >= 0.5).otherwise(F.col(score) < 0.5)
     out = rows.groupBy(pool, expect).agg(
         F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(wrong.cast("double")).alias("wrong_rate")
@@ -209,6 +209,12 @@ def audit_scores(df: DataFrame, pool: str, ids, sample: int = 400, score: str =
     return out.withColumn("warn", F.col("wrong_rate") > 0.1)
 
 
+def _audited(df: DataFrame, pool: str, ids, sample: int | None, seed: int) -> DataFrame:
+    if sample is None:
+        return df
+    return first_k(df, ids, df.groupBy(pool).agg(F.lit(int(sample)).alias("k")), seed, group=[pool])
+
+
 def label_counts(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
 

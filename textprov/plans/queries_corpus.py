@@ -493,11 +493,11 @@ _AUDIT_ROWS = f"(SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'human' ELSE 'ai' END A
 
 
 @query("agg7_phrase_audit", sql=f"""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY expect ORDER BY {D.order_sql('id', 3)}) AS k FROM {_AUDIT_ROWS.format(rows=D.HAN_ROWS)} WHERE {D.han_count_sql('sentence')} >= 20)
+WITH r AS (SELECT * FROM {_AUDIT_ROWS.format(rows=D.HAN_ROWS)} WHERE {D.han_count_sql('sentence')} >= 20)
 SELECT expect, count(*) AS n, round(avg(CASE WHEN {' OR '.join(f"contains(sentence, '{p}')" for p in V.STOCK_PHRASES)} THEN 1.0 ELSE 0.0 END), 6) AS phrase_rate,
   round(avg({D.han_count_sql('sentence')}), 6) AS mean_len,
   expect = 'human' AND avg(CASE WHEN {' OR '.join(f"contains(sentence, '{p}')" for p in V.STOCK_PHRASES)} THEN 1.0 ELSE 0.0 END) > 0.15 AS warn
-FROM r WHERE k <= 800 GROUP BY expect
+FROM r GROUP BY expect
 """)
 def agg7_phrase_audit(spark, d):
     expect = F.when(F.col("doc_id") % 2 == 0, "human").otherwise("ai")
@@ -507,9 +507,9 @@ def agg7_phrase_audit(spark, d):
 
 
 @query("agg8_score_audit", sql=f"""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY expect ORDER BY {D.order_sql('id', 7)}) AS k FROM {_AUDIT_ROWS.format(rows=D.SCORED_ROWS)})
+WITH r AS (SELECT * FROM {_AUDIT_ROWS.format(rows=D.SCORED_ROWS)})
 SELECT expect, count(*) AS n, round(avg(p), 6) AS mean_score, round(avg(CASE WHEN (expect = 'human') = (p >= 0.5) THEN 1.0 ELSE 0.0 END), 6) AS wrong_rate,
-  avg(CASE WHEN (expect = 'human') = (p >= 0.5) THEN 1.0 ELSE 0.0 END) > 0.1 AS warn FROM r WHERE k <= 400 GROUP BY expect
+  avg(CASE WHEN (expect = 'human') = (p >= 0.5) THEN 1.0 ELSE 0.0 END) > 0.1 AS warn FROM r GROUP BY expect
 """)
 def agg8_score_audit(spark, d):
     expect = F.when(F.col("doc_id") % 2 == 0, "human").otherwise("ai")
@@ -799,7 +799,7 @@ def fea16_word_tfidf(spark, d):
 def fea17_style_stack(spark, d):
     """TF-IDF with the five style figures appended; their sum of squares exceeds the unit norm."""
     rows = _labelled(spark, d)
-    v = M.TextVectoriser(max_features=5000, with_style=True).fit(rows).transform(rows)
+    v = M.TextVectoriser(with_style=True).fit(rows).transform(rows)
     u = F.unwrap_udt("features")
     return v.select("id", r6(F.aggregate(u["values"], F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
 
@@ -808,7 +808,7 @@ def fea17_style_stack(spark, d):
 def sco3_batch_scores(spark, d):
     """Classifier trained on half of the sentences (vectoriser, SCO1 models, SCO2 sigmoids), applied to all."""
     rows = C.split_by_hash(_labelled(spark, d), "id", 0.5, seed=1)
-    model = M.fit_classifier(rows.filter("split = 'a'"), "id", max_iter=15)
+    model = M.fit_classifier(rows.filter("split = 'a'"), "id")
     return model.score(rows).select("id", "label", "split", F.round("p_stat", 4).alias("p_stat"))
 
 

@@ -89,7 +89,6 @@ def src3_answer_samples(spark, d):
 
 
 _FILE = "CASE doc_id % 4 WHEN 0 THEN 'arxiv_' WHEN 1 THEN 'qazh_' WHEN 2 THEN 'wikipedia_' ELSE 'other_' END || source"
-_PAIRED_CAP = 300
 
 
 def _paired_side(is_ai: bool) -> str:
@@ -106,10 +105,7 @@ def _paired_side(is_ai: bool) -> str:
 
 
 @query("src4_paired_samples", sql=f"""
-SELECT file, doc_id AS line, sent_idx, md5(t) AS text_hash, is_ai FROM (
-  SELECT *, row_number() OVER (PARTITION BY file, is_ai ORDER BY doc_id, sent_idx) AS rn
-  FROM ({_paired_side(False)} UNION ALL {_paired_side(True)})
-) WHERE rn <= {_PAIRED_CAP}
+SELECT file, doc_id AS line, sent_idx, md5(t) AS text_hash, is_ai FROM ({_paired_side(False)} UNION ALL {_paired_side(True)})
 """)
 def src4_paired_samples(spark, d):
     """Documents as paired rows: the human side is text or a JSON list of lines, the machine side its Han form."""
@@ -119,7 +115,7 @@ def src4_paired_samples(spark, d):
         F.concat(F.lit("/data/m4/"), file, "source", F.lit(".jsonl")).alias("file"), F.col("doc_id").alias("line"),
         human.alias("human_text"), D.han_text("text").alias("machine_text"),
     )
-    out = REC.paired_samples(rows, cap=_PAIRED_CAP)
+    out = REC.paired_samples(rows)
     return out.select("file", "line", big("sent_idx").alias("sent_idx"), F.md5("text").alias("text_hash"), "is_ai")
 
 

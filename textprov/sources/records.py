@@ -113,7 +113,7 @@ def text_or_list(c: Column | str) -> Column:
     )
 
 
-def paired_samples(rows: DataFrame, cap: int | None = 6000) -> DataFrame:
+def paired_samples(rows: DataFrame, cap: int | None = None) -> DataFrame:
     """Rows ``file, line, human_text, machine_text`` (text or JSON list) to sentences of both sides.
 
     The file-name prefix gives the text class; other files are not used. ``cap`` keeps the first sentences per file and
@@ -144,7 +144,7 @@ def paired_samples(rows: DataFrame, cap: int | None = 6000) -> DataFrame:
     )
 
 
-def read_paired(spark: SparkSession, path: str, cap: int | None = 6000) -> DataFrame:
+def read_paired(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
     """Paired JSON-lines files; both text fields may be strings or lists."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
     rows = lines.select(

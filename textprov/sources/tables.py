@@ -4,18 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_TABLE_BYTES = 1 << 30
-
 
 def read_table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """A parquet table, pruned to ``columns``.
-
-    Text work is bound by CPU, and a small file of a single row group would be read by one task only. Tables whose
-    files are below ``SMALL_TABLE_BYTES`` in total are therefore dealt out once over the session's cores; larger
-    tables keep their input splits and are never shuffled here.
-    """
+    """A parquet table, pruned to ``columns``; its input splits are the partitions, whatever its size."""
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    if columns:
-        df = df.select(*columns)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_TABLE_BYTES else df
+    return df.select(*columns) if columns else df
