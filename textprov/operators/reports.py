@@ -15,11 +15,12 @@ BODY_MARK = "原文内容"
 INLINE_MARK = r"([\d.]+)%\((\d+)\)"
 FURNITURE = r"(?U)—\s*\d+\s*—|https://cx\.cnki\.net|知网个人AIGC检测服务"
 POPOVER = "aigc-detection-chance-popover"
-EM_TAG = (
-    r'(?s)<em\b[^>]*?\bclass="(low|medium|high)(?=[\s"])[^>]*>(.*?)</em>'
-    r'(?=([^<]*+(?:<(?!em\b)[^<]*+)*+))'
-    r'(?=(?:.*?<div\b[^>]*?\bclass="[^"]*' + POPOVER + r'[^"]*"[^>]*>(.*?)</div>)?)'
-)
+EM_LEVEL = r'(?s)\A<em\b[^>]*?\bclass="(low|medium|high)(?=[\s"])'
+EM_INNER = r"(?s)\A<em\b[^>]*>(.*?)</em>"
+# what follows an em inside its own parent: text, inline tags and whole div elements, up to a popover or a block border
+BLOCK = r"(?:div|p|li|ul|ol|dl|dd|dt|td|th|tr|table|section|article|header|footer|main|form|body|html|h[1-6])\b"
+IS_POPOVER = r'<div\b[^>]*?\bclass="[^"]*' + POPOVER + r'[^"]*"[^>]*>'
+SIBLINGS = r"(?s)\A((?:[^<]++|<(?!/?" + BLOCK + r")|(?!" + IS_POPOVER + r")<div\b[^>]*+>(?:[^<]++|<(?!/?div\b))*+</div>)*+)"
 CHANCE = r"(?U)AI生成的可能性为[：:]\s*<i[^>]*>\s*([\d.]+)%"
 CHANCE_PLAIN = r"(?U)AI生成的可能性为[：:]\s*([\d.]+)%"
 
@@ -91,18 +92,34 @@ def plain_text(html: Column) -> Column:
 
 
 def _em_spans(html: str) -> Column:
-    def group(g: int, name: str) -> Column:
-        return F.regexp_extract_all(F.col(html), F.lit(EM_TAG), F.lit(g)).alias(name)
+    """level, inner, tail (text of the siblings up to the next em), pop (the next popover in the same parent) of every em
+    of the three classes. The page is cut once at its em tags; an em without popover of its own takes that of the next one,
+    unless a block border lies between."""
+    pieces = F.filter(F.split(F.col(html), r"(?=<em\b)"), lambda p: p.startswith("<em"))
 
-    return F.arrays_zip(group(1, "level"), group(2, "inner"), group(3, "tail"), group(4, "pop"))
+    def parsed(p: Column) -> Column:
+        after = F.regexp_replace(p, EM_INNER, "")
+        tail = F.regexp_extract(after, SIBLINGS, 1)
+        rest = F.substr(after, F.length(tail) + 1)
+        pop = F.when(rest == "", F.lit(None)).when(rest.rlike(r"\A" + IS_POPOVER), F.regexp_extract(rest, r"(?s)\A<div\b[^>]*>(.*?)</div>", 1)).otherwise("")
+        return F.struct(F.regexp_extract(p, EM_LEVEL, 1).alias("level"), F.regexp_extract(p, EM_INNER, 1).alias("inner"), tail.alias("tail"), pop.alias("pop"))
+
+    start = F.struct(F.lit("").alias("pop"), F.array().cast("array<struct<level:string,inner:string,tail:string,pop:string>>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        pop = F.coalesce(s["pop"], a["pop"])
+        return F.struct(pop.alias("pop"), F.concat(a["out"], F.array(F.struct(s["level"].alias("level"), s["inner"].alias("inner"), s["tail"].alias("tail"), pop.alias("pop")))).alias("out"))
+
+    spans = F.aggregate(F.reverse(F.transform(pieces, parsed)), start, step, lambda a: F.reverse(a["out"]))
+    return F.filter(spans, lambda s: s["level"] != "")
 
 
 def annotated_spans(pages: DataFrame, ids: list[str], html: str = "html", fallback: bool = False) -> DataFrame:
     """Annotated spans of report pages: ``ids, span_idx, text, level, pct``.
 
-    A span is an ``em`` of class low, medium or high; its percentage is in the next popover after it. With ``fallback``
-    a plain percentage up to the next span is used where the popover has none. Tags are found by expression, not by a
-    document tree: a popover inside another parent element counts as well.
+    A span is an ``em`` of class low, medium or high; its percentage is in the next popover in the same parent. With
+    ``fallback`` a plain percentage up to the next span is used where the popover has none. Tags are found by expression,
+    not by a document tree; a parent ends at the next border of a block element.
     """
     zipped = _em_spans(html)
     rows = pages.filter(F.col(html).contains("<em")).select(*ids, F.posexplode(zipped).alias("span_idx", "s"))

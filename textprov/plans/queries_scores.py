@@ -562,16 +562,18 @@ _LEVEL = "CASE page_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' EN
 _INNER_SQL = f"""
 SELECT page_id, i AS span_idx, p[i + 1] AS inner_html, CAST(page_id * 7 % 101 AS DOUBLE) AS pct, {_LEVEL} AS level FROM (
   SELECT page_id, p, unnest(range(len(p))) AS i FROM (
-    SELECT page_id, regexp_extract_all({D.han_sql('html')}, '<就>([^<]*)</就>', 1) AS p FROM pages))
+    SELECT page_id, regexp_extract_all({D.han_sql('html')}, '<就>([^<]*)</就>', 1) AS p FROM pages)) WHERE length(p[i + 1]) % 2 = 0
 """
 
 
 def mark_pages(pages):
-    """Plain paragraphs of the pages, after the letter map, as annotated spans with a popover each."""
+    """Plain paragraphs of the pages, after the letter map, as annotated spans, each in a paragraph of its own; those with an
+    even number of characters have a popover."""
     lead = F.concat(F.lit('<em class="'), F.expr(_LEVEL), F.lit(' x">'))
     pop = F.concat(F.lit('</em> <div class="y aigc-detection-chance-popover">AI生成的可能性为：<i class="n">'),
                    (F.col("page_id") * 7 % 101).cast("string"), F.lit("%</i></div>"))
-    marked = F.regexp_replace(D.han_text("html"), F.lit("<就>([^<]*)</就>"), F.concat(lead, F.lit("$1"), pop))
+    marked = F.regexp_replace(D.han_text("html"), F.lit("<就>((?:[^<]{2})*)</就>"), F.concat(F.lit("<p>"), lead, F.lit("$1"), pop, F.lit("</p>")))
+    marked = F.regexp_replace(marked, F.lit("<就>([^<]*)</就>"), F.concat(F.lit("<p>"), lead, F.lit("$1</em></p>")))
     return pages.select("page_id", marked.alias("html"))
 
 
