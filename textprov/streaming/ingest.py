@@ -23,8 +23,8 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def append_new(batch: DataFrame, target: str, order: list[str]) -> DataFrame:
-    """Append the rows whose text hash the target does not hold, once each; returns what was appended.
+def append_new(batch: DataFrame, target: str, order: list[str], batch_id: int = -1) -> None:
+    """Append the rows whose text hash the target does not hold, once each, marked with the number of their batch.
 
     Running it again with the same batch appends nothing, so a replayed micro-batch does no harm.
     """
@@ -32,29 +32,31 @@ def append_new(batch: DataFrame, target: str, order: list[str]) -> DataFrame:
     schema = "text string, prob double, label string, text_hash string"
     existing = read_or_empty(spark, target, schema).select("text_hash")
     fresh = dedup_first(batch.select("text", "prob", "label", *[c for c in order if c not in ("text", "prob", "label")]), order)
-    fresh = fresh.withColumn("text_hash", F.md5("text")).join(existing, "text_hash", "left_anti").select(*ANNOTATION_COLUMNS)
+    fresh = fresh.withColumn("text_hash", F.md5("text")).join(existing, "text_hash", "left_anti").select(*ANNOTATION_COLUMNS, F.lit(batch_id).cast("bigint").alias("batch_id"))
     fresh.write.mode("append").parquet(target)
-    return fresh
 
 
 def ingest_reports(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], target: str, checkpoint: str,
                    order: list[str], log: str | None = None) -> StreamingQuery:
     """Stream of report rows to annotations: parse, drop known texts, append. Runs over what is available and stops.
 
-    ``parse`` turns a batch of reports into ``text, prob, label`` plus the ``order`` columns. ``log`` gets one row per
-    batch with its number of new annotations.
+    ``parse`` turns a batch of reports into ``text, prob, label`` plus the ``order`` columns. Every annotation carries
+    the number of its batch, so the log (``ingest_log``) follows from the data and no stop between two writes can lose it.
+    ``log`` names a folder that gets the batch's row as well.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = read_or_empty(spark, target, "text_hash string").count()
-        append_new(parse(batch), target, order)
+        append_new(parse(batch), target, order, batch_id)
         if log:
-            after = read_or_empty(spark, target, "text_hash string").count()
-            spark.createDataFrame([(batch_id, after - before)], "batch_id long, n_new long").write.mode("append").parquet(log)
+            ingest_log(batch.sparkSession, target).filter(F.col("batch_id") == batch_id).write.mode("append").parquet(log)
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_log(spark: SparkSession, target: str) -> DataFrame:
+    """``batch_id, n_new``: new annotations of every batch, counted in the annotation table itself."""
+    return read_or_empty(spark, target, "batch_id long").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_new"))
+
+
 def retrain_due(log: DataFrame, trained_upto: int = -1, threshold: int = 500) -> DataFrame:
     """New annotations since the last training and whether they reach the threshold, one row.
 
