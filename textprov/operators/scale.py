@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 CHUNK = 1 << 16
 
 
@@ -138,6 +140,7 @@ def cumulative_counts(df: DataFrame, score: str, label: str, by=()) -> DataFrame
              F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n_neg"))
         .withColumn("_k3", ordered_key(F.col("score")))
     )
+    d = cut_lineage(d)  # one small row per score; all levels below read it, not the texts
     sums = [F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg")]
     c3 = d.groupBy(*by, "_k3").agg(*sums).withColumn("_k2", F.shiftright("_k3", 16))
     c2 = c3.groupBy(*by, "_k2").agg(*sums).withColumn("_k1", F.shiftright("_k2", 16))
