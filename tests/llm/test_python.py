@@ -65,13 +65,13 @@ def test_join_equals_brute_force(spark, documents):
     assert same_join(rows, near_duplicates(documents).collect())
 
 
-@pytest.mark.parametrize("limit", [500, 8])
+@pytest.mark.parametrize("limit", [4000, 8])
 def test_join_of_near_copies(spark, limit):
     """Groups of edited copies around the threshold; a low limit forces splits by chosen paths and by blocks."""
     rnd, rows = random.Random(3), []
     for g in range(6):
         base = [f"g{g}w{rnd.randrange(10**6)}" for _ in range(120)]
-        for _ in range(40 if g == 0 else 12):
+        for _ in range(120 if g == 0 else 12):
             text = list(base)
             for _ in range(rnd.randrange(5)):
                 text[rnd.randrange(120)] = f"new{rnd.randrange(10**6)}"

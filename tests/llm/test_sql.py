@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from textprov.llm import queries as Q
 from textprov.llm.chat import perspectives
 from textprov.llm.decontaminate import contamination, decontaminated
-from textprov.llm.line_dedup import deduplicated, suffix_levels, document_lines
+from textprov.llm.line_dedup import deduplicated, document_lines, first_level, suffix_levels
 from tools.check_oracle import TABLES, compare
 
 from .conftest import LONG, PASSAGE, SF, WORDS
@@ -47,7 +47,7 @@ def test_suffix_array_is_sorted(spark):
     """Ranks by the first 2, 4, ... lines order the suffixes as the ranks of single lines do."""
     texts = ["a\nb\na\nb\nc", "b\na\nb\na\nb", "a\nb\nc\nd", "a\na\na\na\na\na"]
     lines = document_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    levels = [{(r.d, r.i): r["rank"] for r in level.collect()} for level in suffix_levels(lines, 4)]
+    levels = [{(r.d, r.i): r["rank"] for r in level.collect()} for level in suffix_levels(*first_level(lines), 4)]
     first = {(r.d, r.i): (r.k1, r.k2) for r in lines.collect()}
     names = sorted(set(first.values()))
     for k, level in zip((1, 2, 4), levels):

@@ -62,6 +62,7 @@ def templates(pages: DataFrame, max_depth: int = MAX_DEPTH, min_pages: int = MIN
         step = F.when(F.col("literal"), F.col("part")).otherwise(wild)
         grown = F.when(F.col("ended"), F.col("template")).otherwise(F.concat("template", F.array(step)))
         rows = rows.withColumn("template", grown).withColumn("node", F.array_join("template", "/")).drop("part", "literal", "ended")
+        rows = written(rows, "url-segments")  # the next depth reads it twice
     rest = F.when(F.size("parts") > max_depth, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template"))
     return rows.withColumn("template", rest).drop("parts", "node")
 
@@ -89,6 +90,7 @@ def judged(
         own = (F.col("sg") + prior * F.col("parent")) / (F.col("sn") + prior)
         sums = sums.select("host", F.col("key"), F.when(differs, own).otherwise(F.col("parent")).alias("own"))
         share = share.withColumn("key", F.when(F.size("template") >= k, key)).join(sums, ["host", "key"], "left").select("host", "template", "n", "g", F.coalesce("own", "p").alias("p"))
+        share = written(share, "url-shares")
     final = share.select("host", full.alias("full"), F.col("p").alias("purity"))
     out = rows.withColumn("full", full).join(final, ["host", "full"], "left")
     return out.select("page_id", "host", "path", F.concat(F.lit("/"), "full").alias("template"), "purity", (F.col("purity") < min_purity).alias("rejected"))
