@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,30 +39,39 @@ def first_of(c: Column | str, patterns: list[str]) -> Column:
     return F.coalesce(*[first_match(c, p) for p in patterns])
 
 
+# Platforms and the words that show them; the first rule that holds wins, a tuple needs all of its words.
+INGEST_PLATFORMS = [
+    ("知网", [("cx.cnki.net",), ("知网", "AIGC检测")]),
+    ("PaperPass/PaperYY", [("PaperPass",), ("PaperYY",)]),
+    ("维普", [("维普",), ("cqvip",)]),
+    ("超星/大雅", [("超星",), ("学习通",), ("大雅",)]),
+    ("万方", [("万方",), ("wanfang",)]),
+    ("原文对照", [("原文对照",), ("人工撰写占比",)]),
+]
+META_PLATFORMS = [
+    ("zhihu", [("cx.cnki.net",), ("知网", "AIGC检测")]),
+    ("paperpass", [("PaperPass",), ("PaperYY",)]),
+    ("duizhao", [("原文对照",), ("人工撰写占比",)]),
+    ("aigc_detect", [("AIGC检测",)]),
+]
+
+
+def _platform(c: Column | str, rules: list) -> Column:
+    out = F.lit("unknown")
+    for name, words in reversed(rules):
+        holds = reduce(Column.__or__, [reduce(Column.__and__, [_col(c).contains(w) for w in some]) for some in words])
+        out = F.when(holds, name).otherwise(out)
+    return out
+
+
 def ingest_platform(c: Column | str) -> Column:
     """Platform by the first rule that holds (six platforms)."""
-    c = _col(c)
-    return (
-        F.when(c.contains("cx.cnki.net") | (c.contains("知网") & c.contains("AIGC检测")), "知网")
-        .when(c.contains("PaperPass") | c.contains("PaperYY"), "PaperPass/PaperYY")
-        .when(c.contains("维普") | c.contains("cqvip"), "维普")
-        .when(c.contains("超星") | c.contains("学习通") | c.contains("大雅"), "超星/大雅")
-        .when(c.contains("万方") | c.contains("wanfang"), "万方")
-        .when(c.contains("原文对照") | c.contains("人工撰写占比"), "原文对照")
-        .otherwise("unknown")
-    )
+    return _platform(c, INGEST_PLATFORMS)
 
 
 def meta_platform(c: Column | str) -> Column:
     """Platform by the shorter rule list (four platforms)."""
-    c = _col(c)
-    return (
-        F.when(c.contains("cx.cnki.net") | (c.contains("知网") & c.contains("AIGC检测")), "zhihu")
-        .when(c.contains("PaperPass") | c.contains("PaperYY"), "paperpass")
-        .when(c.contains("原文对照") | c.contains("人工撰写占比"), "duizhao")
-        .when(c.contains("AIGC检测"), "aigc_detect")
-        .otherwise("unknown")
-    )
+    return _platform(c, META_PLATFORMS)
 
 
 def _integer(c: Column) -> Column:
@@ -161,7 +172,7 @@ def paired_generator(name: Column | str) -> Column:
 
 
 def colour_label(r: Column | str, g: Column | str, b: Column | str) -> Column:
-    """Label of a text run by its colour; no colour means human, near-white is skipped."""
+    """Label of a text run by its colour; no colour means human, near-white is skipped. The limits are fixed values."""
     r, g, b = _col(r), _col(g), _col(b)
     return (
         F.when(r.isNull() | g.isNull() | b.isNull(), "human")

@@ -82,7 +82,7 @@ def latin_outnumbers_han(c: Column | str) -> Column:
 def is_plain_english(c: Column | str, min_chars: int = 30, min_letters: int = 40) -> Column:
     """Printable ASCII throughout, at least ``min_chars`` long, more than ``min_letters`` letters; null counts as empty."""
     s = strip_space(F.coalesce(_col(c), F.lit("")))
-    return s.rlike(rf"\A[ -~]{{{min_chars},}}\z") & (latin_count(s) > min_letters)
+    return s.rlike(rf"^[ -~]{{{min_chars},}}\z") & (latin_count(s) > min_letters)
 
 
 def word_count(c: Column | str) -> Column:
@@ -144,7 +144,7 @@ SPLITTERS = {
 def clean_sentence(c: Column | str, lang: Column | str | None = None) -> Column:
     """Collapse white space, strip list marks, then null unless long enough for its language (6 Han / 8 words)."""
     t = F.trim(collapse_space(_col(c)))
-    t = F.regexp_replace(t, r"\A[·—•*#]+|[·—•*#]+\z", "")
+    t = F.regexp_replace(t, r"^[·—•*#]+|[·—•*#]+\z", "")
     words = F.size(F.filter(F.split(t, " "), lambda w: w != ""))
     zh_ok = han_count(t) >= 6
     en_ok = is_latin(t) & (words >= 8)
@@ -185,22 +185,22 @@ def body_of(paragraphs: Column | str) -> Column:
 
 # Heading lines.
 HEADING_PATTERNS = [
-    r"\A\s*\d+(\.\d+)*[\s、.．]",
-    r"\A\s*（[一二三四五六七八九十]+）",
-    r"\A\s*[一二三四五六七八九十]+[\s、，,]",
-    r"\A\s*(摘要|关键词|目录|参考文献|致谢|绪论|引言|结论|abstract|keywords|作者简介|基金项目)",
+    r"^\s*\d+(\.\d+)*[\s、.．]",
+    r"^\s*（[一二三四五六七八九十]+）",
+    r"^\s*[一二三四五六七八九十]+[\s、，,]",
+    r"^\s*(摘要|关键词|目录|参考文献|致谢|绪论|引言|结论|abstract|keywords|作者简介|基金项目)",
 ]
 # Lines that are not body text.
 REFERENCE_PATTERN = (
-    r"\[\d+\]\s|\b\[[JMDCNEK]\]|\b\[EB/OL\]|\b\[J/OL\]|\b(20\d\d)[,，.]\d+.*?[:：]|\A(参考文献|references?)\s*[:：]?"
+    r"\[\d+\]\s|\b\[[JMDCNEK]\]|\b\[EB/OL\]|\b\[J/OL\]|\b(20\d\d)[,，.]\d+.*?[:：]|^(参考文献|references?)\s*[:：]?"
 )
 METADATA_PATTERN = (
-    r"\A(参考文献|致\s*谢|摘\s*要|目\s*录|content|abstract|keywords|作者简介|基金项目|收稿|录用|"
+    r"^(参考文献|致\s*谢|摘\s*要|目\s*录|content|abstract|keywords|作者简介|基金项目|收稿|录用|"
     r"本\s*人\s*签\s*名|指导教师签名|学位论文|原创性声明|知识产权声明|分类号|UDC|论文类别|学校代码|学\s*号|答辩日期)"
 )
 TITLE_SUFFIX_PATTERN = r"(论文模版|论文模板|：?检测报告|(1)(\.docx)?$)"
 HEADER_PATTERN = (
-    r"(?iU)(UNIVERSITY|NANCHANG|届高等学历|摘要|目录|参考文献|致谢|关键词|\A[0-9]{3,}|\A\s*[A-Za-z ]{10,}\s*\z)"
+    r"(?iU)(UNIVERSITY|NANCHANG|届高等学历|摘要|目录|参考文献|致谢|关键词|^[0-9]{3,}|^\s*[A-Za-z ]{10,}\s*\z)"
 )
 BOILERPLATE_TITLE_PATTERN = r"(毕业论文|毕业设计|学位论文|继续教育|自学考试|本科|大学|学院|学校)"
 
@@ -219,7 +219,7 @@ def is_contaminated(c: Column | str) -> Column:
     return (
         (F.length(s) < 8)
         | s.rlike("(?Uid)" + REFERENCE_PATTERN)
-        | s.rlike(r"(?U)\A\s*\[\d+\]")
+        | s.rlike(r"(?U)^\s*\[\d+\]")
         | s.rlike("(?Uid)" + METADATA_PATTERN)
         | s.rlike(TITLE_SUFFIX_PATTERN)
     )
@@ -275,7 +275,7 @@ def length_gap_ok(src: Column | str, tgt: Column | str, below: float = 0.6) -> C
 def reference_ok(src: Column | str, tgt: Column | str) -> Column:
     """The target may not bring in numbering, nor more than one extra Latin word."""
     src, tgt = F.coalesce(_col(src), F.lit("")), F.coalesce(_col(tgt), F.lit(""))
-    number_mark = r"(?U)[（(]\s*[0-9一二三四五]+\s*[）)]|\A\s*\d+[\.、]"
+    number_mark = r"(?U)[（(]\s*[0-9一二三四五]+\s*[）)]|^\s*\d+[\.、]"
     words = r"[A-Za-z]{2,}"
     return (
         (src != "")
