@@ -33,7 +33,8 @@ from .common import SLICE_BYTES, Hasher, mixed, text_slices, written
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999999
-LIMIT = 500
+#: Nodes of a bucket that is compared pair by pair; of a group that is compared one pair after another.
+LIMIT, PAIRWISE = 4000, 64
 MAX_DEPTH = 4
 COORDINATES = 128
 #: Coordinates that a pair at ``threshold - SLACK`` is expected to share in the buckets of a level.
@@ -104,9 +105,9 @@ def _node(s: np.ndarray, own: str) -> bytes:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, words: int, threshold: float, runs: int) -> DataFrame:
-    """id, node, n (shingles), signature, keys (buckets of the first level) of every document."""
+    """id, node, n (shingles), signature, bits of it, keys (buckets of the first level) of every document."""
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    schema = T.StructType([docs.schema["id"], *T._parse_datatype_string("node binary, n int, signature binary, keys array<bigint>").fields])
+    schema = T.StructType([docs.schema["id"], *T._parse_datatype_string("node binary, n int, signature binary, bits binary, keys array<bigint>").fields])
     p, roots = chance(threshold), mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, words: int, threshold: flo
                 cuts = np.searchsorted(row[order], np.arange(len(sets) + 1))
                 yield pa.RecordBatch.from_arrays([
                     ids, pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in signatures], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(key[order])),
+                    pa.array([b.tobytes() for b in _sketch_bits(signatures)], pa.binary()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(key[order])),
                 ], names=[f.name for f in schema])
 
     return docs.mapInArrow(sketch, schema)
@@ -188,34 +189,87 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _sketch_bits(signatures: np.ndarray) -> np.ndarray:
+    """Two bits of every coordinate, in four words."""
+    two = np.empty((len(signatures), 2 * COORDINATES), np.uint8)
+    two[:, ::2], two[:, 1::2] = signatures & 1, signatures >> 1 & 1
+    return np.packbits(two, axis=1).view(np.uint64)
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Coordinates whose two bits differ."""
+    x = a ^ b
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=-1, dtype=np.int64)
+
+
+def _met_before(lists: list[set[int]], bucket: int) -> np.ndarray | None:
+    """Of each pair of a large group: whether it shares a lesser bucket, too."""
+    rows, keys = [], []
+    for i, some in enumerate(lists):
+        lesser = [k for k in some if k < bucket]
+        rows += [i] * len(lesser)
+        keys += lesser
+    distinct, column, count = np.unique(np.array(keys, np.int64), return_inverse=True, return_counts=True)
+    wanted = count > 1
+    if not wanted.any():
+        return None
+    place, met = np.cumsum(wanted) - 1, np.zeros((len(lists), len(lists)), bool)
+    rows, column = np.array(rows), column[:]
+    for lo in range(0, int(wanted.sum()), 1024):
+        take = wanted[column] & (place[column] >= lo) & (place[column] < lo + 1024)
+        has = np.zeros((len(lists), 1024), np.float32)
+        has[rows[take], place[column[take]] - lo] = 1
+        met |= has @ has.T > 0
+    return met
+
+
 def candidates(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(bucket, part, node, partners): nodes with the later ones of their group that may be similar; partners have rows too."""
-    least = threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    differ = (1 - threshold) * 0.75  # how often two bits of a coordinate differ in a pair at the threshold
+    most = COORDINATES * differ + DEVIATIONS * math.sqrt(COORDINATES * differ * (1 - differ))
     lists = members.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("all"))  # some tens for a node
-    rows = members.join(lists, "node").join(nodes.select("node", "n", "signature"), "node")
-    rows = rows.select("bucket", "part", "side", "node", "all", "n", "signature").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
+    rows = members.join(lists, "node").join(nodes.select("node", "n", "bits"), "node")
+    rows = rows.select("bucket", "part", "side", "node", "all", "n", "bits").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, 2000):
             bucket, part, side, n = (table.column(c).to_numpy() for c in ("bucket", "part", "side", "n"))
             nodes_, lists_ = table.column("node").to_pylist(), [set(x) for x in table.column("all").to_pylist()]
-            bytes_ = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(n), COORDINATES).astype(np.uint8)
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(n), 4)
             partners: list[list[bytes]] = [[] for _ in range(len(n))]
             needed = np.zeros(len(n), bool)
-            start = np.arange(len(n))
-            for d in range(1, len(n)):
+            cuts = np.concatenate(([0], np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1, [len(n)]))
+            sizes = np.diff(cuts)
+
+            def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                fits = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & ((side[i] == 2) | (side[i] != side[j]))
+                return fits & (_differing(bits[i], bits[j]) <= most)
+
+            start = np.flatnonzero(np.repeat(sizes <= PAIRWISE, sizes))
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            for d in range(1, PAIRWISE):
                 start = start[start + d < len(n)]
-                start = start[(bucket[start + d] == bucket[start]) & (part[start + d] == part[start])]
+                start = start[group[start + d] == group[start]]
                 if not len(start):
                     break
-                i, j = start, start + d
-                fits = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & ((side[i] == 2) | (side[i] != side[j]))
-                i, j = i[fits], j[fits]
-                close = (bytes_[i] == bytes_[j]).sum(axis=1) >= least * COORDINATES
-                for x, y in zip(i[close].tolist(), j[close].tolist()):
+                close = start[near(start, start + d)]
+                for x, y in zip(close.tolist(), (close + d).tolist()):
                     if bucket[x] == min(lists_[x] & lists_[y]):
                         partners[x].append(nodes_[y])
                         needed[x] = needed[y] = True
+            for g in np.flatnonzero(sizes > PAIRWISE).tolist():
+                lo, hi = int(cuts[g]), int(cuts[g + 1])
+                met = _met_before(lists_[lo:hi], int(bucket[lo]))
+                for x in range(lo, hi - 1):
+                    y = np.arange(x + 1, hi)
+                    ok = near(np.full(len(y), x), y)
+                    if met is not None:
+                        ok &= ~met[x - lo, x + 1 - lo:]
+                    y = y[ok]
+                    if len(y):
+                        partners[x] = [nodes_[k] for k in y.tolist()]
+                        needed[x] = True
+                        needed[y] = True
             at = np.flatnonzero(needed)
             yield pa.RecordBatch.from_arrays([
                 pa.array(bucket[at]), pa.array(part[at]), pa.array([nodes_[x] for x in at], pa.binary()), pa.array([partners[x] for x in at], pa.list_(pa.binary())),
@@ -224,6 +278,32 @@ def candidates(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
     return rows.mapInArrow(compare, "bucket bigint, part int, node binary, partners array<binary>")
 
 
+def _shared_sizes(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets; pair by pair, or for a dense group by a product of its 0-1 matrix."""
+    m = len(sets)
+    columns = None
+    if len(i) > 16 * m:
+        distinct, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        columns = int((count > 1).sum())
+    if columns is None or 2e-10 * m * m * columns > 3e-5 * len(i):
+        out = np.zeros(len(i), np.int64)
+        for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+            small, big = sorted((sets[x], sets[y]), key=len)
+            at = np.minimum(np.searchsorted(big, small), len(big) - 1)
+            out[k] = np.count_nonzero(big[at] == small)
+        return out
+    row, place = np.repeat(np.arange(m), [len(s) for s in sets]), np.cumsum(count > 1) - 1
+    row, column = row[count[column] > 1], place[column[count[column] > 1]]
+    out = np.zeros(len(i), np.float64)
+    for lo in range(0, columns, 1024):
+        take = (column >= lo) & (column < lo + 1024)
+        has = np.zeros((m, 1024), np.float32)
+        has[row[take], column[take] - lo] = 1
+        both = has @ has.T
+        out += both[i, j]
+    return np.rint(out).astype(np.int64)
+
+
 def verified(found: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
     """(node, root, links): verified links of each node in each group, and its root in the group's forest.
 
@@ -239,7 +319,7 @@ def verified(found: DataFrame, texts: DataFrame, words: int, threshold: float) -
             sets: list[np.ndarray] = []
             for _, _, data, offsets in text_slices(table.column("text").chunk(0), SLICE_BYTES):
                 sets += shingle_sets(*hasher.words(data, offsets), words)
-            place = {(b, q, x): i for i, (b, q, x) in enumerate(zip(bucket.tolist(), part.tolist(), nodes_))}
+            cuts = np.concatenate(([0], np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1, [len(bucket)])).tolist()
             links, root = np.zeros(len(nodes_), np.int64), list(range(len(nodes_)))
 
             def top(i: int) -> int:
@@ -248,19 +328,19 @@ def verified(found: DataFrame, texts: DataFrame, words: int, threshold: float) -
                     i = root[i]
                 return i
 
-            for i, some in enumerate(partners):
-                a = sets[i]
-                for x in some:
-                    j = place[bucket[i], part[i], x]
-                    b = sets[j]
-                    small, big = (a, b) if len(a) <= len(b) else (b, a)
-                    at = np.minimum(np.searchsorted(big, small), len(big) - 1)
-                    both = int((big[at] == small).sum())
-                    if both >= threshold * (len(a) + len(b) - both) - 1e-9:
-                        links[i] += 1
-                        links[j] += 1
-                        x, y = sorted((top(i), top(j)))
-                        root[y] = x
+            for lo, hi in zip(cuts, cuts[1:]):
+                place = {x: k for k, x in enumerate(nodes_[lo:hi])}
+                i = np.array([k for k in range(hi - lo) for _ in partners[lo + k]], np.int64)
+                j = np.array([place[x] for k in range(lo, hi) for x in partners[k]], np.int64)
+                size = np.array([len(s) for s in sets[lo:hi]])
+                both = _shared_sizes(sets[lo:hi], i, j)
+                good = both >= threshold * (size[i] + size[j] - both) - 1e-9
+                i, j = i[good] + lo, j[good] + lo
+                links += np.bincount(np.concatenate((i, j)), minlength=len(links))
+                for x, y in zip(i.tolist(), j.tolist()):
+                    x, y = top(x), top(y)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
             at = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([
                 pa.array([nodes_[i] for i in at], pa.binary()), pa.array([nodes_[top(int(i))] for i in at], pa.binary()), pa.array(links[at]),
@@ -290,7 +370,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_copies: rows with the same set, this one among them.
     """
     rows = written(sketches(docs, doc_id, text, words, threshold, runs_for(recall, threshold)), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
     nodes = written(nodes, "nodes")
     members = written(buckets(nodes.filter("n > 0"), threshold, limit), "members")
     found = written(candidates(members, nodes, threshold), "candidates")
