@@ -377,7 +377,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = written(found.select("node").distinct().join(nodes.select("node", "id"), "node"), "wanted")
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     same = texts["id"].eqNullSafe(wanted["id"])
-    texts = texts.join(wanted, same).select("node", "text")
+    texts = texts.join(wanted.hint("merge"), same).select("node", "text")  # one plan at every size
     checked = written(verified(found, _own_texts(texts, words), words, threshold), "links")
     roots = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
@@ -408,6 +408,6 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **h
     """``docs`` with the row of the least id of every class only. Rows without an id always stay."""
     classes = near_duplicates(docs, doc_id, text, **how)
     gone = written(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone_id")).distinct(), "duplicates")
-    left = docs.join(gone, F.col(doc_id) == F.col("_gone_id"), "left_anti").withColumn("_gone_key", F.xxhash64(text))
+    left = docs.join(gone.hint("merge"), F.col(doc_id) == F.col("_gone_id"), "left_anti").withColumn("_gone_key", F.xxhash64(text))
     nth = F.row_number().over(Window.partitionBy(doc_id, "_gone_key").orderBy(F.lit(1)))
     return left.withColumn("_gone_nth", nth).filter((F.col("_gone_nth") == 1) | F.col(doc_id).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
