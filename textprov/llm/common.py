@@ -102,7 +102,15 @@ class Hasher:
         cuts = offsets[offsets > 0] - 1
         last[cuts] = inside[cuts]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        return self._spans(_LOWERED[data], starts, ends), np.searchsorted(starts, offsets)
+
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of spans of bytes, taken as they are."""
+        return self._spans(data.astype(np.uint64) + np.uint64(1), starts, ends)
+
+    def _spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = len(values)
         self._tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LOWERED[data] * self.powers[:n], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.inverse[starts]), np.searchsorted(starts, offsets)
+        np.cumsum(values * self.powers[:n], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))

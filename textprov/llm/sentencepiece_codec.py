@@ -12,7 +12,6 @@ ignored. Texts of any length are encoded whole.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe_memo import ChunkMemo, batches_of, chunk_encoder, worker_memo
+from .bpe_memo import ChunkMemo, chunk_encoder, worker_memo
+from .common import text_lists
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CALL_CHARS = 1 << 20
+CALL_BYTES = 1 << 20
 THREADS = 2
 
 
@@ -147,12 +147,14 @@ class Codec:
             self.normalize = normalizer.normalize_str
             begins = np.array([p.startswith(MARK) for p, _, _ in model.pieces])
             encode = chunk_encoder(self.tokenizer, begins, lambda c: len(c) > 1 and c[0] == MARK != c[1])
-            self.memo = ChunkMemo(encode, re.compile(f"{MARK}*[^{MARK}]+|{MARK}+"))
+            self.memo = ChunkMemo(encode, MARK)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.memo is None:
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return [np.frombuffer(b, "<u4") for b in self.memo.encode([self.normalize(t) if t else "" for t in texts])]
+        rows = [(self.normalize(t) if t else "").encode() for t in texts]
+        ids, cuts = self.memo.encode(np.frombuffer(b"".join(rows), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows], dtype=np.int64))))
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
@@ -181,9 +183,7 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, threads)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in batches_of(texts, CALL_CHARS):
-                part = texts[lo:hi]
+            for lo, hi, part in text_lists(batch.column("text"), CALL_BYTES):
                 ids = own.encode(part)
                 out = [batch.column("doc_id").slice(lo, hi - lo), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
                 if keep_ids:

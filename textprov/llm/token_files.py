@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe_memo import IS_SPACE, ChunkMemo, batches_of, chunk_encoder, worker_memo
+from .bpe_memo import SPACES, ChunkMemo, chunk_encoder, worker_memo
+from .common import text_slices
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
-#: Characters that are encoded in one call.
-CALL_CHARS = 1 << 20
+#: Bytes of text that are encoded in one call.
+CALL_BYTES = 1 << 20
 
 SCHEMA = "n_tokens bigint, part int, part_start bigint, ids array<int>"
 
@@ -46,7 +47,7 @@ def _encoder(path: str) -> ChunkMemo:
         for token, i in tokenizer.get_vocab().items():
             begins[i] = token[0] == marks[0] or token == marks[1]
 
-    return ChunkMemo(chunk_encoder(tokenizer, begins, lambda c: c[0] in " \n" and len(c) > 1 and not IS_SPACE(c[1])))
+    return ChunkMemo(chunk_encoder(tokenizer, begins, lambda c: c[0] in " \n" and len(c) > 1 and c[1] not in SPACES))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, encoding: str = "dictionary", partitions: int | None = None) -> None:
@@ -59,16 +60,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    end = np.array([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, start = worker_memo(("byte level", tokenizer), lambda: _encoder(tokenizer)), 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in batches_of(texts, CALL_CHARS):
-                ids = memo.encode(texts[lo:hi])
-                lengths = np.array([len(x) // 4 + 1 for x in ids], np.int64)
-                values = np.frombuffer(b"".join(x for one in ids for x in (one, end)), "<i4")
+            for lo, hi, data, rows_at in text_slices(batch.column("text"), CALL_BYTES):
+                ids, cuts = memo.encode(data, rows_at)
+                values, lengths = np.insert(ids, cuts[1:], end_id).view("<i4"), np.diff(cuts) + 1
                 offsets = np.concatenate(([0], np.cumsum(lengths)))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(lo, hi - lo), pa.array(lengths), batch.column("part").slice(lo, hi - lo),
