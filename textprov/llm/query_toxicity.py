@@ -17,4 +17,4 @@ def op5_toxicity(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text")
     model = fit(docs, table(spark, d, "labels"), train=fold() != 0)
     out = scores(docs, model)
-    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_lists
+from .common import text_lists, written
 
 BUCKETS = 1 << 20
 SIZES = (3, 4, 5)
@@ -144,8 +144,10 @@ def fit(
     some = known.filter(F.col(label_id).isNotNull()).orderBy(F.xxhash64(label_id), label_id).limit(max_fit_rows)
     sample = _labelled(docs, F.broadcast(some), doc_id, text, label_id, label).select("text", "label")  # max_fit_rows ids at most
     vector = F.udf(lambda i, v: SparseVector(width, i, v), VectorUDT())
-    rows = sample.mapInArrow(features, "label double, indices array<int>, values array<double>").select("label", vector("indices", "values").alias("features"))
-    fitted = LogisticRegression(regParam=penalty, standardization=False, maxIter=100, tol=1e-5, family="binomial").fit(rows)
+    # few partitions of a bounded sample: gradients are added up without a shuffle in every iteration
+    rows = written(sample.mapInArrow(features, "label double, indices array<int>, values array<double>").repartition(4), "toxicity-sample")
+    rows = rows.select("label", vector("indices", "values").alias("features"))
+    fitted = LogisticRegression(regParam=penalty, standardization=False, maxIter=60, tol=1e-4, family="binomial").fit(rows)
     return Model(chosen, np.asarray(fitted.coefficients) * scale, float(fitted.intercept))
 
 
