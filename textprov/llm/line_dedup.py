@@ -19,6 +19,8 @@ id come first. Other columns are passed on, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,12 +74,16 @@ def _refined(active: DataFrame, ranks: DataFrame, k: int, n: int) -> DataFrame:
     return pairs.join(moved, ["rank", "next"]).select(*_PLACE, (F.col("rank") + F.col("before")).alias("rank"), "c")
 
 
-def suffix_levels(lines: DataFrame, depth: int) -> list[DataFrame]:
-    """For k = 1, 2, 4, ... up to ``depth``: places, ranks by the first k lines, and how many suffixes share the rank;
-    of suffixes that share it with others only."""
+def first_level(lines: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Suffixes that are settled by their first line, those that share it with others, and the number of lines."""
     n = lines.count()
     first = written(line_ranks(lines, n), "line-ranks").dropDuplicates(_PLACE)
-    settled, active = first.filter("c = 1").select(*_PLACE, "rank"), written(first.filter("c > 1"), "line-level")
+    return first.filter("c = 1").select(*_PLACE, "rank"), written(first.filter("c > 1"), "line-level"), n
+
+
+def suffix_levels(settled: DataFrame, active: DataFrame, n: int, depth: int) -> list[DataFrame]:
+    """For k = 1, 2, 4, ... up to ``depth``: places, ranks by the first k lines, and how many suffixes share the rank;
+    of suffixes that share it with others only. Settled ranks are kept for the order of the others."""
     levels, k = [active], 1
     while k * 2 <= depth and not active.isEmpty():
         new = written(_refined(active, settled.union(active.select(*_PLACE, "rank")), k, n), "line-level")
@@ -101,20 +107,19 @@ def least_runs(lines: DataFrame, min_words: int) -> DataFrame:
 def later_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """d, h, runs: per document with later copies, the first and last line numbers of its maximal runs to delete."""
     lines = written(document_lines(docs, doc_id, text), "lines")
-    levels = suffix_levels(lines, min_words)
-    shared = written(levels[0].select(*_PLACE), "shared-lines")
+    settled, shared, n = first_level(lines)
     runs = least_runs(lines, min_words).dropDuplicates(["d", "h", "i", "length"])
-    runs = written(_at(runs, shared, []), "least-runs")  # a run whose first line occurs once is no copy
-    copies = None
-    for j, level in enumerate(levels):
-        k = 1 << j
-        of = runs.filter((F.col("length") >= k) & (F.col("length") < 2 * k))
-        of = _at(of, level.select(*_PLACE, F.col("rank").alias("r1")), ["r1"])
-        of = _at(of.withColumn("start", F.col("i")).withColumn("i", (F.col("i") + F.col("length") - k).cast("int")), level.select(*_PLACE, F.col("rank").alias("r2")), ["start", "r1", "r2"])
-        place = F.struct("d", "h", F.col("start").alias("i"))
-        firsts = of.groupBy("length", "r1", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-        later = of.join(firsts, ["length", "r1", "r2"]).filter(place > F.col("first")).select("d", "h", "start", "length")
-        copies = later if copies is None else copies.unionByName(later)
+    runs = written(_at(runs, shared.select(*_PLACE), []), "least-runs")  # a run whose first line occurs once is no copy
+    levels = suffix_levels(settled, shared, n, runs.agg(F.max("length")).first()[0] or 1)
+    ranks = reduce(DataFrame.unionByName, [level.select(*_PLACE, F.lit(j).alias("j"), "rank") for j, level in enumerate(levels)])
+    # the largest power of two within the run: its first and its last so many lines name it
+    runs = runs.withColumn("j", F.length(F.bin("length")) - 1).filter(F.col("j") < len(levels))
+    of = _at(runs, ranks.withColumnRenamed("rank", "r1"), ["r1"], ["j"])
+    last = F.expr("cast(i + length - shiftleft(1, j) as int)")
+    of = _at(of.withColumn("start", F.col("i")).withColumn("i", last), ranks.withColumnRenamed("rank", "r2"), ["r2"], ["j"])
+    place = F.struct("d", "h", F.col("start").alias("i"))
+    firsts = of.groupBy("length", "r1", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    copies = written(of.join(firsts, ["length", "r1", "r2"]).filter(place > F.col("first")).select("d", "h", "start", "length"), "later-copies")
     marked = copies.select("d", "h", F.explode(F.sequence("start", (F.col("start") + F.col("length") - 1).cast("int"))).alias("i")).distinct()
     marked = _at(marked, lines.select(*_PLACE, "n").dropDuplicates(_PLACE), ["n"])
     island = F.col("i") - F.row_number().over(Window.partitionBy("d", "h").orderBy("i"))
@@ -122,13 +127,13 @@ def later_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     return islands.groupBy("d", "h").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum("lines").alias("removed"))
 
 
-def _at(left: DataFrame, right: DataFrame, more: list[str]) -> DataFrame:
-    """Rows of ``left`` with those of ``right`` at the same place."""
-    same = [F.col("l.d").eqNullSafe(F.col("r.d")), F.col("l.h") == F.col("r.h"), F.col("l.i") == F.col("r.i")]
-    rest = [F.col(c) for c in (left.columns if not more else [c for c in left.columns if c not in _PLACE and c not in more])]
+def _at(left: DataFrame, right: DataFrame, more: list[str], keys: list[str] = []) -> DataFrame:
+    """Rows of ``left`` with the columns ``more`` of ``right`` at the same place (and equal ``keys``), or those that have
+    a row there."""
+    same = [F.col("l.d").eqNullSafe(F.col("r.d")), *(F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("h", "i", *keys))]
     if not more:
         return left.alias("l").join(right.alias("r"), same, "left_semi")
-    return left.alias("l").join(right.alias("r"), same).select(*(F.col(f"l.{c}") for c in _PLACE), *rest, *more)
+    return left.alias("l").join(right.alias("r"), same).select("l.*", *(f"r.{c}" for c in more))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
