@@ -27,7 +27,7 @@ from .common import Hasher, text_slices
 
 WINDOW = 10
 #: Test items travel to the tasks in blocks of at most about so many characters.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 2 << 20
 
 MATCH = "array<struct<item_id:string,word:bigint,item_word:bigint,n_words:bigint>>"
 
