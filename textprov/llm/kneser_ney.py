@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_lengths, written
+from .common import text_lengths, text_lists, written
 
 ORDER = 4
 QUANTILE = 0.99
 LEAST_HELD = 100
 #: Bytes of text in a chunk (one longer text is a chunk of its own).
 CHUNK_BYTES = 16 << 20
+#: Bytes of text whose n-grams are counted at once.
+SLICE_BYTES = 1 << 20
 #: Up to so many trusted ids are sent to the tasks; more are joined.
 SENT_IDS = 1 << 20
 SYMBOL_BITS = 9
@@ -93,14 +95,17 @@ def requests(flagged: DataFrame, order: int, chunk_bytes: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, held in _chunks(batches, _first_chunk(), chunk_bytes):
-            texts = [t.encode() for b in held for t in b.column("text").to_pylist()]
-            trains = [bool(x) for b in held for x in b.column("trains").to_pylist()]
-            keys, offsets = _keys(texts, order)
-            of = np.repeat(trains, np.diff(offsets))
-            distinct = np.unique(keys)
-            seen, counts = np.unique(keys[of], return_counts=True)
+            parts, seen = [np.zeros(0, np.int64)], []
+            for b in held:
+                trains = np.array([bool(x) for x in b.column("trains").to_pylist()])
+                for lo, hi, texts in text_lists(b.column("text"), SLICE_BYTES):  # a chunk's n-grams are never held all at once
+                    keys, offsets = _keys([t.encode() for t in texts], order)
+                    parts.append(np.unique(keys))
+                    seen.append(np.unique(keys[np.repeat(trains[lo:hi], np.diff(offsets))], return_counts=True))
+            distinct = np.unique(np.concatenate(parts))
             c = np.zeros(len(distinct), np.int64)
-            c[np.searchsorted(distinct, seen)] = counts
+            for some, counts in seen:
+                c[np.searchsorted(distinct, some)] += counts
             for a in range(0, len(distinct), 1 << 16):
                 n = len(distinct[a:a + (1 << 16)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(distinct[a:a + n]), pa.array(c[a:a + n])], names=["part", "key", "c"])
