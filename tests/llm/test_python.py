@@ -307,6 +307,17 @@ def test_perplexity_equals_brute_force(spark, documents):
         assert got[i].perplexity == pytest.approx(w, rel=1e-6) and got[i].n_bytes == len(t.encode())
 
 
+def test_quality_of_rows_that_are_dealt_anew_when_read(spark, documents):
+    place = F.udf(lambda: random.randrange(1000), "int").asNondeterministic()
+    docs = documents.filter("doc_id < 60").select("text", "lang", F.when(F.col("doc_id") % 4 > 0, F.col("doc_id")).alias("doc_id")).repartition(4, place())
+    trusted = spark.createDataFrame([(i, i % 3 != 0) for i in range(0, 60, 2)], "id long, trains boolean")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute_perplexities([t for _, t in rows], [t for i, t in rows if i is not None and i % 2 == 0 and i % 3 != 0])
+    got = perplexities(docs, trusted, chunk_bytes=20_000).collect()
+    as_rows = lambda found: sorted((-1 if i is None else i, n, round(p, 4)) for i, n, p in found)
+    assert as_rows((r.id, r.n_bytes, r.perplexity) for r in got) == as_rows((i, len(t.encode()), w) for (i, t), w in zip(rows, want))
+
+
 def test_quality_cases(spark, odd, empty):
     trusted = spark.createDataFrame([(1, True), (7, False), (5, True), (None, True)], "id long, trains boolean")
     rows = classified(odd, trusted).collect()

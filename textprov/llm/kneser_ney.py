@@ -13,7 +13,7 @@ fewer than ``least_held`` held-out documents gets the quantile of all languages;
 with a perplexity is kept. Without trusted text all symbols are equally likely. Trust in ids that are null or unknown has
 no effect. Rows of one id are judged row by row. Other columns are ignored.
 
-``docs`` must be a table that gives the same rows in the same partitions when it is read twice, such as a scan of files.
+``docs`` is read once: its rows, their trust and the number of their chunk are written before the n-grams are counted.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_lengths, text_lists, written
+from .common import text_lengths, written
 
 ORDER = 4
 QUANTILE = 0.99
@@ -35,8 +35,6 @@ LEAST_HELD = 100
 CHUNK_BYTES = 16 << 20
 #: Bytes of text whose n-grams are counted at once.
 SLICE_BYTES = 1 << 20
-#: Up to so many trusted ids are sent to the tasks; more are joined.
-SENT_IDS = 1 << 20
 SYMBOL_BITS = 9
 SYMBOLS = 256
 
@@ -61,45 +59,85 @@ def _keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[inside], np.concatenate(([0], np.cumsum(lengths)))
 
 
-def _flagged(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
-    """id, lang, text, trains (null: not trusted). ``trusted`` has ``id`` and ``trains``, an id once."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    few = trusted.limit(SENT_IDS + 1).count() <= SENT_IDS
-    return rows.join(F.broadcast(trusted) if few else trusted, "id", "left").select("id", "lang", "text", "trains")
+def dealt(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, lang: str, chunk_bytes: int) -> DataFrame:
+    """part, id, lang, trains (null: not trusted), packed (text) of every row, as a table written once.
+
+    ``trusted`` has ``id`` and ``trains``, an id once. It is one join at every size; ``part`` is the number of the chunk.
+    """
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    id_field = T.StructField("id", rows.schema["id"].dataType)
+    small = T.StructType([id_field, *T._parse_datatype_string("lang string, n bigint, packed binary").fields])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        tool = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            texts = [tool.compress((t or "").encode()) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(text_lengths(b.column("text"))), pa.array(texts, pa.binary())], names=small.names)
+
+    packed = rows.mapInArrow(pack, small).withColumn("salt", F.when(F.col("id").isNull(), F.xxhash64("packed")).otherwise(F.lit(0)))  # null ids lie anywhere
+    joined = packed.join(trusted.withColumn("salt", F.lit(0).cast("bigint")).hint("merge"), ["id", "salt"], "left").select("id", "lang", "trains", "n", "packed")
+    numbered = T.StructType([T.StructField("part", T.LongType()), id_field, *T._parse_datatype_string("lang string, trains boolean, packed binary").fields])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, total = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            parts = np.zeros(b.num_rows, np.int64)
+            for i, n in enumerate(b.column("n").to_numpy().tolist()):
+                if total and total + n > chunk_bytes:
+                    part, total = part + 1, 0
+                total += n
+                parts[i] = part
+            yield pa.RecordBatch.from_arrays([pa.array(parts), *[b.column(c) for c in numbered.names[1:]]], names=numbered.names)
+
+    return written(joined.mapInArrow(number, numbered), "chunks")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], first: int, size: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """(chunk number, its rows): the same for the same rows of a partition."""
-    held, total, number = [], 0, first
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(chunk number, its rows)."""
+    held, number = [], None
     for batch in batches:
-        lo = 0
-        for i, n in enumerate(text_lengths(batch.column("text")).tolist()):
-            if total and total + n > size:
-                held.append(batch.slice(lo, i - lo))
+        parts = batch.column("part").to_numpy()
+        cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)] if len(parts) else []
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and parts[lo] != number:
                 yield number, held
-                held, total, number, lo = [], 0, number + 1, i
-            total += n
-        held.append(batch.slice(lo))
+                held = []
+            number = int(parts[lo])
+            held.append(batch.slice(lo, hi - lo))
     if held:
         yield number, held
 
 
-def _first_chunk() -> int:
-    from pyspark import TaskContext
+def _text_slices(packed: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, end row, texts): the n-grams of a chunk are never held all at once."""
+    import zstandard
 
-    return TaskContext.get().partitionId() << 32
+    tool, lo, size, texts = zstandard.ZstdDecompressor(), 0, 0, []
+    for i, one in enumerate(packed.to_pylist()):
+        texts.append(tool.decompress(one))
+        size += len(texts[-1])
+        if size > SLICE_BYTES or i + 1 == len(packed):
+            yield lo, i + 1, texts
+            lo, size, texts = i + 1, 0, []
 
 
-def requests(flagged: DataFrame, order: int, chunk_bytes: int) -> DataFrame:
-    """(part, key, c): the distinct n-grams of every chunk, with their counts in texts that train the model."""
+def requests(chunks: DataFrame, order: int) -> DataFrame:
+    """(part, key, c): the distinct n-grams of every chunk, with their counts in texts that train the model.
+
+    A chunk that two tasks read asks twice, which moves no count and no answer.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, held in _chunks(batches, _first_chunk(), chunk_bytes):
+        for part, held in _chunks(batches):
             parts, seen = [np.zeros(0, np.int64)], []
             for b in held:
                 trains = np.array([bool(x) for x in b.column("trains").to_pylist()])
-                for lo, hi, texts in text_lists(b.column("text"), SLICE_BYTES):  # a chunk's n-grams are never held all at once
-                    keys, offsets = _keys([t.encode() for t in texts], order)
+                for lo, hi, texts in _text_slices(b.column("packed")):
+                    keys, offsets = _keys(texts, order)
                     parts.append(np.unique(keys))
                     seen.append(np.unique(keys[np.repeat(trains[lo:hi], np.diff(offsets))], return_counts=True))
             distinct = np.unique(np.concatenate(parts))
@@ -110,7 +148,7 @@ def requests(flagged: DataFrame, order: int, chunk_bytes: int) -> DataFrame:
                 n = len(distinct[a:a + (1 << 16)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(distinct[a:a + n]), pa.array(c[a:a + n])], names=["part", "key", "c"])
 
-    return flagged.select("text", "trains").mapInArrow(count, "part bigint, key bigint, c bigint")
+    return chunks.select("part", "trains", "packed").mapInArrow(count, "part bigint, key bigint, c bigint")
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -153,53 +191,33 @@ def perplexities(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", te
     if not 2 <= order <= 7:
         raise ValueError("order is 2 to 7")
     trusted = trusted.filter("id is not null").groupBy("id").agg(F.min("trains").alias("trains"))
-    flagged = _flagged(docs, written(trusted, "trusted"), doc_id, text, lang)
-    asked = written(requests(flagged, order, chunk_bytes), "requests")
+    chunks = dealt(docs, trusted, doc_id, text, lang, chunk_bytes)
+    asked = written(requests(chunks, order), "requests")
     counts = written(asked.filter("c > 0").groupBy("key").agg(F.sum("c").alias("c")), "counts")
     p = probabilities(counts, asked.select("key").distinct(), order)
     answers = asked.select("part", "key").join(p, "key").select("part", "key", F.log2("p").alias("bits"))
 
-    id_type = flagged.schema["id"].dataType
-    packed = T.StructType([T.StructField("part", T.LongType()), T.StructField("id", id_type), *T._parse_datatype_string("lang string, trains boolean, packed binary").fields])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        small = zstandard.ZstdCompressor(level=1)
-        for part, held in _chunks(batches, _first_chunk(), chunk_bytes):
-            for b in held:
-                texts = [small.compress(t.encode()) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part)), b.column("id"), b.column("lang"), b.column("trains"), pa.array(texts, pa.binary())], names=packed.names)
-
-    scored = T.StructType([T.StructField("id", id_type), *T._parse_datatype_string("lang string, trains boolean, n_bytes bigint, perplexity double").fields])
+    scored = T.StructType([chunks.schema["id"], *T._parse_datatype_string("lang string, trains boolean, n_bytes bigint, perplexity double").fields])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        import zstandard
-
-        large = zstandard.ZstdDecompressor()
         key, bits = right.column("key").to_numpy(), right.column("bits").to_numpy()
         by_key = np.argsort(key)
         key, bits = key[by_key], bits[by_key]
-        sums, lengths, texts, size = [], [], [], 0
-        packed_texts = left.column("packed").to_pylist()
-        for i, one in enumerate(packed_texts):
-            texts.append(large.decompress(one))
-            size += len(texts[-1])
-            if size > 1 << 20 or i + 1 == len(packed_texts):
-                keys, offsets = _keys(texts, order)
-                at = np.minimum(np.searchsorted(key, keys), max(0, len(key) - 1))
-                if len(keys) and not (len(key) and (key[at] == keys).all()):
-                    raise ValueError("the documents were not dealt into the same chunks twice")
-                upto = np.concatenate(([0.0], np.cumsum(bits[at]))) if len(keys) else np.zeros(1)
-                sums.append(upto[offsets[1:]] - upto[offsets[:-1]])
-                lengths.append(np.diff(offsets))
-                texts, size = [], 0
+        sums, lengths = [], []
+        for _, _, texts in _text_slices(left.column("packed")):
+            keys, offsets = _keys(texts, order)
+            at = np.minimum(np.searchsorted(key, keys), max(0, len(key) - 1))
+            if len(keys) and not (len(key) and (key[at] == keys).all()):
+                raise ValueError("a chunk's n-gram has no answer")
+            upto = np.concatenate(([0.0], np.cumsum(bits[at]))) if len(keys) else np.zeros(1)
+            sums.append(upto[offsets[1:]] - upto[offsets[:-1]])
+            lengths.append(np.diff(offsets))
         n, total = np.concatenate(lengths) if lengths else np.zeros(0, np.int64), np.concatenate(sums) if sums else np.zeros(0)
         with np.errstate(invalid="ignore", divide="ignore"):
             perplexity = np.where(n > 0, 2.0 ** (-total / np.maximum(n, 1)), np.nan)
         return pa.table([left.column("id"), left.column("lang"), left.column("trains"), pa.array(n), pa.array(perplexity, from_pandas=True)], names=scored.names)
 
-    return flagged.mapInArrow(pack, packed).groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, scored)
+    return chunks.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, scored)
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE, least_held: int = LEAST_HELD) -> DataFrame:
