@@ -307,6 +307,26 @@ def test_perplexity_equals_brute_force(spark, documents):
         assert got[i].perplexity == pytest.approx(w, rel=1e-6) and got[i].n_bytes == len(t.encode())
 
 
+def test_quality_knows_words_and_their_order(spark, monkeypatch):
+    """Text of usual letters is not kept if its words or their order are junk, in scripts without spaces too."""
+    from textprov.llm import query_quality as one
+
+    rnd, han, rows = random.Random(3), "天地玄黄宇宙洪荒日月盈昃辰宿列张", []
+    phrases = [[rnd.choice(WORDS) for _ in range(6)] for _ in range(12)]
+    signs = [[rnd.choice(han) for _ in range(6)] for _ in range(12)]
+    for i in range(240):
+        tokens, glue = [w for _ in range(20) for w in rnd.choice(phrases if i % 2 else signs)], " " if i % 2 else ""
+        if i >= 200:
+            rnd.shuffle(tokens)
+        if i >= 220 and i % 2:
+            tokens = ["".join(rnd.sample(w, len(w))) for w in tokens]
+        rows.append((i, glue.join(tokens), "en" if i % 2 else "zh"))
+    tables = {"documents": spark.createDataFrame(rows, "doc_id long, text string, lang string"), "labels": spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")}
+    monkeypatch.setattr(one, "table", lambda spark, folder, name, *columns: tables[name].select(*columns))
+    kept = {r.doc_id: r.keep for r in one.op7_quality(spark, "").collect()}
+    assert np.mean([kept[i] for i in range(200)]) > 0.95 and not any(kept[i] for i in range(200, 240))
+
+
 def test_quality_of_rows_that_are_dealt_anew_when_read(spark, documents):
     place = F.udf(lambda: random.randrange(1000), "int").asNondeterministic()
     docs = documents.filter("doc_id < 60").select("text", "lang", F.when(F.col("doc_id") % 4 > 0, F.col("doc_id")).alias("doc_id")).repartition(4, place())

@@ -1,14 +1,16 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over the UTF-8 bytes of a text, after ``order - 1`` marks for its start; n-grams of up to seven symbols are
-exact 63-bit keys. Training counts, continuation counts, discounts and probabilities are tables keyed by n-gram and
-context, made by joins and aggregates. Documents are dealt into chunks of bounded size. A chunk asks for the probability
-of each of its distinct n-grams once; the requests meet the count tables on the n-gram's shard, and the answers go back
-to the chunk, where they are added up per document. No model is sent to all tasks.
+The model is over the symbols of a text, after ``order - 1`` marks for its start. A symbol is a word (a run of letters and
+digits), a character of a script that is written without spaces, or a mark other than white space; or,
+with the unit ``BYTES``, a UTF-8 byte. N-grams are known by 64-bit hashes. Training counts, continuation counts, discounts
+and the totals of contexts are tables keyed by n-gram, made by aggregates. Documents are dealt into chunks of bounded size.
+A chunk asks for each of its distinct n-grams of all orders once; the requests meet the model on the n-gram's shard, and
+what the model knows of goes back to the chunk, where probabilities are made and added up per document. No model is sent
+to all tasks.
 
 Thresholds are quantiles of perplexity, one for each language, over trusted documents that did not train the model.
 
-Defined cases: null and empty texts have no perplexity and are not kept. A null language is a language. A language with
+Defined cases: null and empty texts, and those without symbols, have no perplexity and are not kept. A null language is a language. A language with
 fewer than ``least_held`` held-out documents gets the quantile of all languages; without any held-out document every text
 with a perplexity is kept. Without trusted text all symbols are equally likely. Trust in ids that are null or unknown has
 no effect. Rows of one id are judged row by row. Other columns are ignored.
@@ -26,37 +28,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_lengths, written
+from .common import Hasher, mixed, text_lengths, written
 
-ORDER = 4
+#: Units of the model, and orders that fit them.
+WORDS, BYTES = "words", "bytes"
+WORD_ORDER, ORDER = 3, 4
 QUANTILE = 0.99
 LEAST_HELD = 100
 #: Bytes of text in a chunk (one longer text is a chunk of its own).
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Bytes of text whose n-grams are counted at once.
 SLICE_BYTES = 1 << 20
-SYMBOL_BITS = 9
-SYMBOLS = 256
-
-
-def _mask(k: int) -> int:
-    return (1 << SYMBOL_BITS * k) - 1
-
-
-def _keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram that ends at each byte of the texts, offsets of the texts)."""
-    pad = order - 1
-    lengths = np.array([len(t) for t in texts], np.int64)
-    symbols = np.zeros(int(lengths.sum()) + pad * len(texts), np.int64)
+_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _words(texts: list[bytes], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, offsets of the texts into them)."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    at = np.flatnonzero((data & 0xC0) != 0x80)  # characters
+    lead, second = data[at], data[np.minimum(at + 1, len(data) - 1)]
+    alone = (lead >= 0xE2) | (lead == 0xC2) | ((lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB))  # East Asia and marks; Thai and Lao
+    alone |= (lead == 0xE1) & ((second <= 0x82) | (second == 0x9E) | (second == 0x9F))  # Burmese, Khmer
+    alone |= (lead < 128) & ~_ALNUM[lead] & (lead > 32) & (lead != 127)
+    word = ~alone & (_ALNUM[lead] | (lead >= 128))
+    new = np.zeros(len(at) + 1, bool)  # the first character of a text
+    new[0] = new[-1] = True
+    new[np.searchsorted(at, ends)] = True
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1] | new[1:-1]
+    last[:-1] &= ~word[1:] | new[1:-1]
+    starts = at[first | alone]
+    stops = np.append(at[1:], len(data))[last | alone]
+    return hasher.spans(data, starts, stops), np.searchsorted(starts, np.concatenate(([0], ends)))
+
+
+def _bytes(texts: list[bytes], _: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    symbols = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
+    return symbols, np.cumsum([0, *[len(t) for t in texts]])
+
+
+_SYMBOLS = {WORDS: _words, BYTES: _bytes}
+
+
+def _grams(symbols: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(n-grams of the orders 1 to ``order`` that end at each symbol, the contexts of those from order 2)."""
+    pad, lengths = order - 1, np.diff(offsets)
+    padded = np.zeros(int(lengths.sum()) + pad * len(lengths), np.uint64)
     starts = np.cumsum(lengths + pad) - lengths
-    inside = np.ones(len(symbols), bool)
+    inside = np.ones(len(padded), bool)
     for k in range(pad):
         inside[starts - 1 - k] = False
-    symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-    keys = symbols.copy()
-    for k in range(1, order):
-        keys[k:] |= symbols[:len(symbols) - k] << SYMBOL_BITS * k
-    return keys[inside], np.concatenate(([0], np.cumsum(lengths)))
+    padded[inside] = symbols
+    every = [mixed(padded + _STEP)]
+    for k in range(2, order + 1):
+        every.append(np.zeros_like(padded))
+        every[-1][1:] = mixed(every[-2][:-1] * _STEP + padded[1:] + np.uint64(k))
+    before = np.flatnonzero(inside) - 1
+    return [g[inside].view(np.int64) for g in every], [g[before].view(np.int64) for g in every[:-1]]
 
 
 def dealt(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, lang: str, chunk_bytes: int) -> DataFrame:
@@ -125,30 +157,40 @@ def _text_slices(packed: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
             lo, size, texts = i + 1, 0, []
 
 
-def requests(chunks: DataFrame, order: int) -> DataFrame:
-    """(part, key, c): the distinct n-grams of every chunk, with their counts in texts that train the model.
+def requests(chunks: DataFrame, order: int, unit: str) -> DataFrame:
+    """(part, key): the distinct n-grams and contexts of every chunk. A chunk that two tasks read asks twice, which moves no answer."""
 
-    A chunk that two tasks read asks twice, which moves no count and no answer.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for part, held in _chunks(batches):
-            parts, seen = [np.zeros(0, np.int64)], []
+            parts = [np.zeros(0, np.int64)]
             for b in held:
-                trains = np.array([bool(x) for x in b.column("trains").to_pylist()])
-                for lo, hi, texts in _text_slices(b.column("packed")):
-                    keys, offsets = _keys(texts, order)
-                    parts.append(np.unique(keys))
-                    seen.append(np.unique(keys[np.repeat(trains[lo:hi], np.diff(offsets))], return_counts=True))
+                for _, _, texts in _text_slices(b.column("packed")):
+                    grams, contexts = _grams(*_SYMBOLS[unit](texts, hasher), order)
+                    parts.append(np.unique(np.concatenate(grams + contexts)))
             distinct = np.unique(np.concatenate(parts))
-            c = np.zeros(len(distinct), np.int64)
-            for some, counts in seen:
-                c[np.searchsorted(distinct, some)] += counts
             for a in range(0, len(distinct), 1 << 16):
                 n = len(distinct[a:a + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(distinct[a:a + n]), pa.array(c[a:a + n])], names=["part", "key", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(distinct[a:a + n])], names=["part", "key"])
+
+    return chunks.select("part", "packed").mapInArrow(ask, "part bigint, key bigint")
 
-    return chunks.select("part", "trains", "packed").mapInArrow(count, "part bigint, key bigint, c bigint")
+
+def training_counts(chunks: DataFrame, order: int, unit: str) -> DataFrame:
+    """(g1 to gN, x2 to xN, c): distinct n-grams of the highest order in texts that train, the shorter ones that end them, all contexts."""
+    names = [f"g{k}" for k in range(1, order + 1)] + [f"x{k}" for k in range(2, order + 1)] + ["c"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for _, _, texts in _text_slices(batch.column("packed")):
+                grams, contexts = _grams(*_SYMBOLS[unit](texts, hasher), order)
+                _, at, c = np.unique(grams[-1], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g[at]) for g in grams + contexts] + [pa.array(c.astype(np.int64))], names=names)
+
+    rows = chunks.filter("trains").select("packed").mapInArrow(count, ", ".join(f"{n} bigint" for n in names))
+    rest = [F.first(n).alias(n) for n in names if n not in (f"g{order}", "c")]
+    return rows.groupBy(f"g{order}").agg(F.sum("c").alias("c"), *rest)
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -159,32 +201,35 @@ def _discounts(table: DataFrame) -> list[float]:
     return [min(float(k), max(0.05, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] else 0.5 * k for k in (1, 2, 3)]
 
 
-def probabilities(counts: DataFrame, asked: DataFrame, order: int) -> DataFrame:
-    """(key, p) for the asked n-grams (key) of the highest order; ``counts`` (key, c) has those of the training text."""
-    tables = [counts]
+def model(counts: DataFrame, order: int) -> tuple[DataFrame, float, float, int]:
+    """(key, own, total, spared) of n-grams and contexts; total and spared of the empty context; number of symbols.
+
+    own: an n-gram's count less its discount; total, spared: counts and discounts of the n-grams of the next order whose
+    context it is.
+    """
+    tables = {order: written(counts, "counts")}
     for k in range(order - 1, 0, -1):  # an n-gram of a lower order counts once for each symbol seen before it
-        tables.append(written(tables[-1].groupBy(F.col("key").bitwiseAND(F.lit(_mask(k))).alias("key")).agg(F.count(F.lit(1)).alias("c")), "continuations"))
-    tables.reverse()
-    lower = None
-    for k, table in enumerate(tables, 1):
+        rest = [F.first(n).alias(n) for n in [*[f"g{j}" for j in range(1, k)], *[f"x{j}" for j in range(2, k + 1)]]]
+        tables[k] = written(tables[k + 1].groupBy(f"g{k}").agg(F.count(F.lit(1)).alias("c"), *rest), "continuations")
+    parts, none, whole = [], F.lit(0.0), None
+    for k, table in tables.items():
         d = _discounts(table)
         discount = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        context = F.shiftright("key", SYMBOL_BITS).alias("context")
-        contexts = table.groupBy(context).agg(F.sum("c").alias("total"), F.sum(discount).alias("spared"))
-        rows = asked.select(F.col("key").bitwiseAND(F.lit(_mask(k))).alias("key")).distinct() if k < order else asked
-        rows = rows.join(table.select("key", "c", discount.alias("d")), "key", "left").withColumn("context", F.shiftright("key", SYMBOL_BITS))
-        rows = rows.join(contexts, "context", "left")
-        if lower is None:
-            rows = rows.withColumn("below", F.lit(1.0 / SYMBOLS))
+        sums = F.sum("c").cast("double").alias("total"), F.sum(discount).alias("spared")
+        parts.append(table.select(F.col(f"g{k}").alias("key"), F.greatest(F.col("c") - discount, none).alias("own"), none.alias("total"), none.alias("spared")))
+        if k > 1:
+            parts.append(table.groupBy(F.col(f"x{k}").alias("key")).agg(*sums).select("key", none.alias("own"), "total", "spared"))
         else:
-            rows = rows.withColumn("suffix", F.col("key").bitwiseAND(F.lit(_mask(k - 1)))).join(lower.select(F.col("key").alias("suffix"), F.col("p").alias("below")), "suffix")
-        own = (F.greatest(F.coalesce(F.col("c") - F.col("d"), F.lit(0.0)), F.lit(0.0)) + F.col("spared") * F.col("below")) / F.col("total")
-        lower = written(rows.select("key", F.when(F.col("total").isNull(), F.col("below")).otherwise(own).alias("p")), "probabilities")
-    return lower
+            whole = table.agg(*sums, F.count(F.lit(1)).alias("n")).first()
+    known = parts[0]
+    for one in parts[1:]:
+        known = known.union(one)
+    known = known.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("own", "total", "spared")])
+    return known, float(whole["total"] or 0), float(whole["spared"] or 0), int(whole["n"])
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """id, lang, trains, n_bytes, perplexity (per byte) of every document.
+def perplexities(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, unit: str = BYTES) -> DataFrame:
+    """id, lang, trains, n_bytes, perplexity (per symbol) of every document.
 
     ``trusted``: id of the trusted documents, and ``trains``, false for those that are held out.
     """
@@ -192,30 +237,40 @@ def perplexities(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", te
         raise ValueError("order is 2 to 7")
     trusted = trusted.filter("id is not null").groupBy("id").agg(F.min("trains").alias("trains"))
     chunks = dealt(docs, trusted, doc_id, text, lang, chunk_bytes)
-    asked = written(requests(chunks, order), "requests")
-    counts = written(asked.filter("c > 0").groupBy("key").agg(F.sum("c").alias("c")), "counts")
-    p = probabilities(counts, asked.select("key").distinct(), order)
-    answers = asked.select("part", "key").join(p, "key").select("part", "key", F.log2("p").alias("bits"))
+    known, total, spared, n_symbols = model(training_counts(chunks, order, unit), order)
+    base = -8.0 if unit == BYTES else -float(np.log2(n_symbols + 1))  # all words that training has not seen are one symbol
+    answers = requests(chunks, order, unit).join(known.hint("merge"), "key").select("part", "key", "own", "total", "spared")
 
     scored = T.StructType([chunks.schema["id"], *T._parse_datatype_string("lang string, trains boolean, n_bytes bigint, perplexity double").fields])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, bits = right.column("key").to_numpy(), right.column("bits").to_numpy()
+        key, values = right.column("key").to_numpy(), [right.column(c).to_numpy() for c in ("own", "total", "spared")]
         by_key = np.argsort(key)
-        key, bits = key[by_key], bits[by_key]
-        sums, lengths = [], []
+        key, (own, totals, spares) = np.append(key[by_key], 0), [np.append(v[by_key], 0.0) for v in values]
+
+        def found(keys: np.ndarray) -> np.ndarray:
+            """Places of the keys; the last place, which holds zeros, for those without an answer."""
+            at = np.searchsorted(key[:-1], keys)
+            return np.where((at < len(key) - 1) & (key[at] == keys), at, len(key) - 1)
+
+        hasher, sums, lengths, sizes = Hasher(), [], [], []
         for _, _, texts in _text_slices(left.column("packed")):
-            keys, offsets = _keys(texts, order)
-            at = np.minimum(np.searchsorted(key, keys), max(0, len(key) - 1))
-            if len(keys) and not (len(key) and (key[at] == keys).all()):
-                raise ValueError("a chunk's n-gram has no answer")
-            upto = np.concatenate(([0.0], np.cumsum(bits[at]))) if len(keys) else np.zeros(1)
+            symbols, offsets = _SYMBOLS[unit](texts, hasher)
+            grams, contexts = _grams(symbols, offsets, order)
+            bits = np.full(len(symbols), base)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                if total:
+                    bits = np.logaddexp2(np.log2(own[found(grams[0])] / total), np.log2(spared / total) + bits)
+                for gram, context in zip(grams[1:], contexts):
+                    at = found(context)
+                    bits = np.where(totals[at] > 0, np.logaddexp2(np.log2(own[found(gram)] / totals[at]), np.log2(spares[at] / totals[at]) + bits), bits)
+            upto = np.concatenate(([0.0], np.cumsum(bits)))
             sums.append(upto[offsets[1:]] - upto[offsets[:-1]])
             lengths.append(np.diff(offsets))
-        n, total = np.concatenate(lengths) if lengths else np.zeros(0, np.int64), np.concatenate(sums) if sums else np.zeros(0)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            perplexity = np.where(n > 0, 2.0 ** (-total / np.maximum(n, 1)), np.nan)
-        return pa.table([left.column("id"), left.column("lang"), left.column("trains"), pa.array(n), pa.array(perplexity, from_pandas=True)], names=scored.names)
+            sizes.append(np.array([len(t) for t in texts], np.int64))
+        n, bits, sizes = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lengths, sums, sizes)]
+        perplexity = np.where(n > 0, 2.0 ** (-bits / np.maximum(n, 1)), np.nan)
+        return pa.table([left.column("id"), left.column("lang"), left.column("trains"), pa.array(sizes), pa.array(perplexity, from_pandas=True)], names=scored.names)
 
     return chunks.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, scored)
 
@@ -232,9 +287,9 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, least_held: int =
     )
 
 
-def classified(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, quantile: float = QUANTILE, least_held: int = LEAST_HELD) -> DataFrame:
+def classified(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, quantile: float = QUANTILE, least_held: int = LEAST_HELD, unit: str = BYTES) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, keep of every document."""
-    scored = written(perplexities(docs, trusted, doc_id, text, lang, order), "perplexities")
+    scored = written(perplexities(docs, trusted, doc_id, text, lang, order, unit=unit), "perplexities")
     limits = thresholds(scored, quantile, least_held)
     rows = scored.alias("s").join(limits.alias("t"), F.col("s.lang").eqNullSafe(F.col("t.lang")))
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
