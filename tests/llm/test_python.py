@@ -158,6 +158,20 @@ def test_templates_equal_brute_force(spark):
     assert judged(pages.limit(0), spark.createDataFrame([], "page_id long, good int")).count() == 0
 
 
+def test_small_and_deep_sections_are_judged(spark, monkeypatch):
+    """A bad section with less than 2 % of its host, and one below six segments, beside good siblings."""
+    from textprov.llm import query_url as one
+
+    places = [(f"h.com/s{i}", i != 7) for i in range(80) for _ in range(30)] + [(f"d.com/a/b/c/d/e/f/{x}", x == "good") for x in ("good", "bad") for _ in range(60)]
+    tables = {
+        "pages": spark.createDataFrame([(n, f"http://{place}/{n}") for n, (place, _) in enumerate(places)], "page_id long, url string"),
+        "labels": spark.createDataFrame([(n, int(good)) for n, (_, good) in enumerate(places)], "doc_id long, quality int"),
+    }
+    monkeypatch.setattr(one, "table", lambda spark, folder, name, *columns: tables[name].select(*columns))
+    got = {r.page_id: r.verdict for r in one.op2_url_filter(spark, "").collect()}
+    assert got == {n: "allow" if good else "block" for n, (_, good) in enumerate(places)}
+
+
 # --- token files -------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])

@@ -1,8 +1,8 @@
 """URL filters: path-template trees per host, judged by smoothed labelled purity.
 
-A path becomes a list of segments. From the top of a host's tree downward, segments that are frequent among the pages
-of their branch stay as they are; all others become a wildcard (with the file extension, if they have one). Segments
-below ``max_depth`` are one ``**``. Every node of the tree gathers the labels of its pages. Its share of good pages is
+A path becomes a list of segments. From the top of a host's tree downward, segments with enough pages in
+their branch stay as they are; all others become a wildcard (with the file extension, if they have one). With ``min_share``
+a segment also needs that share of its branch, and with ``max_depth`` the segments below are one ``**``. Every node of the tree gathers the labels of its pages. Its share of good pages is
 smoothed towards its parent's; a branch that does not differ from its parent by more than chance is merged with its
 siblings into the parent's share. A page is rejected if the share of its template is below ``min_purity``.
 
@@ -46,34 +46,38 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return chain([h + p for _, h, p in rules]), chain([v for v, _, _ in rules])
 
 
-def templates(pages: DataFrame, max_depth: int = MAX_DEPTH, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(pages: DataFrame, max_depth: int | None = MAX_DEPTH, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """Adds ``template`` (array of segments) to rows with ``page_id``, ``host`` and ``path``."""
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = pages.withColumn("parts", parts).withColumn("template", F.array().cast("array<string>")).withColumn("node", F.lit(""))
     deepest = rows.agg(F.max(F.size("parts"))).first()[0] or 0
-    for k in range(min(max_depth, deepest)):
+    for k in range(deepest if max_depth is None else min(max_depth, deepest)):
         # rows without such a segment get a key of their own, which joins nothing and lies anywhere
         rows = rows.withColumn("ended", F.size("parts") <= k).withColumn("part", F.coalesce(F.get("parts", F.lit(k)), F.concat(F.lit("/"), F.xxhash64("page_id").cast("string"))))
         counts = rows.filter("not ended").groupBy("host", "node", "part").agg(F.count(F.lit(1)).alias("n"))
-        totals = counts.groupBy("host", "node").agg(F.sum("n").alias("all"))
-        frequent = counts.join(totals, ["host", "node"]).filter((F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("all"))).select("host", "node", "part", F.lit(True).alias("literal"))
+        if min_share > 0:
+            totals = counts.groupBy("host", "node").agg(F.sum("n").alias("all"))
+            counts = counts.join(totals, ["host", "node"]).filter(F.col("n") >= min_share * F.col("all"))
+        frequent = counts.filter(F.col("n") >= min_pages).select("host", "node", "part", F.lit(True).alias("literal"))
         rows = rows.join(frequent, ["host", "node", "part"], "left")
         wild = F.concat(F.lit("*"), F.regexp_extract("part", r"(\.[A-Za-z][A-Za-z0-9]{0,4})\z", 1))
         step = F.when(F.col("literal"), F.col("part")).otherwise(wild)
         grown = F.when(F.col("ended"), F.col("template")).otherwise(F.concat("template", F.array(step)))
         rows = rows.withColumn("template", grown).withColumn("node", F.array_join("template", "/")).drop("part", "literal", "ended")
         rows = written(rows, "url-segments")  # the next depth reads it twice
+    if max_depth is None:
+        return rows.drop("parts", "node")
     rest = F.when(F.size("parts") > max_depth, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template"))
     return rows.withColumn("template", rest).drop("parts", "node")
 
 
 def judged(
     pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", label_id: str = "page_id", good: str = "good",
-    max_depth: int = MAX_DEPTH, prior: float = PRIOR, least_z: float = LEAST_Z, min_purity: float = MIN_PURITY,
+    max_depth: int | None = MAX_DEPTH, prior: float = PRIOR, least_z: float = LEAST_Z, min_purity: float = MIN_PURITY, min_share: float = MIN_SHARE,
 ) -> DataFrame:
     """page_id, host, path, template, purity, rejected of every page; ``labels`` has 1 for good pages and 0 for others."""
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    rows = templates(rows, max_depth)
+    rows = templates(rows, max_depth, min_share=min_share)
     known = labels.select(F.col(label_id).alias("page_id"), F.col(good).cast("int").alias("good")).filter("good in (0, 1) and page_id is not null").groupBy("page_id").agg(F.min("good").alias("good"))
     labelled = rows.join(known, "page_id", "left")
     full = F.array_join("template", "/")
