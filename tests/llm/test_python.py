@@ -91,6 +91,14 @@ def test_join_cases(spark, odd, empty):
     assert runs_for(0.99, 0.8) < runs_for(0.999999, 0.8)
 
 
+def test_one_of_each_of_ids_with_two_texts(spark):
+    """The clean text of an id stays when its other text is a copy, and so does a class whose least id it has."""
+    text = lambda k: " ".join(f"{w}{k}" for w in WORDS)
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (3, text(3)), (4, text(3)), (4, text(4)), (5, text(4)), (6, text(4))]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, text(1)), (2, text(2)), (3, text(3)), (4, text(4))]
+
+
 # --- url filters -------------------------------------------------------------------------------------------------
 
 def test_url_parts_and_rules(spark):

@@ -105,9 +105,9 @@ def _node(s: np.ndarray, own: str) -> bytes:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, words: int, threshold: float, runs: int) -> DataFrame:
-    """id, node, n (shingles), signature, bits of it, keys (buckets of the first level) of every document."""
-    docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    schema = T.StructType([docs.schema["id"], *T._parse_datatype_string("node binary, n int, signature binary, bits binary, keys array<bigint>").fields])
+    """id, text_hash, node, n (shingles), signature, bits of it, keys (buckets of the first level) of every document."""
+    docs = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    schema = T.StructType([docs.schema["id"], *T._parse_datatype_string("text_hash bigint, node binary, n int, signature binary, bits binary, keys array<bigint>").fields])
     p, roots = chance(threshold), mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, words: int, threshold: flo
                 order = np.argsort(row, kind="stable")
                 cuts = np.searchsorted(row[order], np.arange(len(sets) + 1))
                 yield pa.RecordBatch.from_arrays([
-                    ids, pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in signatures], pa.binary()),
+                    ids, batch.column("text_hash").slice(lo, hi - lo), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in signatures], pa.binary()),
                     pa.array([b.tobytes() for b in _sketch_bits(signatures)], pa.binary()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(key[order])),
                 ], names=[f.name for f in schema])
 
@@ -369,6 +369,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     class_id: least id of the texts that links join; n_links: different texts (sets) that are similar to this one;
     n_copies: rows with the same set, this one among them.
     """
+    return _classes(docs, doc_id, text, words, threshold, recall, limit).select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT) -> DataFrame:
+    """id, text_hash, class_id, n_links, n_copies of every row."""
     rows = written(sketches(docs, doc_id, text, words, threshold, runs_for(recall, threshold)), "sketches")
     nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
     nodes = written(nodes, "nodes")
@@ -385,7 +390,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = written(placed, "placed-nodes")
     classes = placed.groupBy("root").agg(F.min("id").alias("class_id"))
     by_node = placed.join(classes, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
-    return rows.select("id", "node").join(by_node, "node").select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
+    return rows.select("id", "text_hash", "node").join(by_node, "node").select("id", "text_hash", "class_id", "n_links", "n_copies")
 
 
 def _own_texts(texts: DataFrame, words: int) -> DataFrame:
@@ -405,9 +410,10 @@ def _own_texts(texts: DataFrame, words: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` with the row of the least id of every class only. Rows without an id always stay."""
-    classes = near_duplicates(docs, doc_id, text, **how)
-    gone = written(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone_id")).distinct(), "duplicates")
-    left = docs.join(gone.hint("merge"), F.col(doc_id) == F.col("_gone_id"), "left_anti").withColumn("_gone_key", F.xxhash64(text))
+    """``docs`` with the row of the least id of every class only. Rows without an id always stay. A document is an id and a text."""
+    classes = _classes(docs, doc_id, text, **how)
+    gone = written(classes.filter("id <> class_id").select(F.col("id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct(), "duplicates")
+    same = (F.col(doc_id) == F.col("_gone_id")) & (F.col("_gone_key") == F.col("_gone_hash"))
+    left = docs.withColumn("_gone_key", F.xxhash64(text)).join(gone.hint("merge"), same, "left_anti")
     nth = F.row_number().over(Window.partitionBy(doc_id, "_gone_key").orderBy(F.lit(1)))
     return left.withColumn("_gone_nth", nth).filter((F.col("_gone_nth") == 1) | F.col(doc_id).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
