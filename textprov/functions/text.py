@@ -244,11 +244,20 @@ def is_boilerplate_title(c: Column | str) -> Column:
 
 # --- pairs -------------------------------------------------------------------------------------------------------
 
+HAN_FIRST, HAN_SIZE = 0x4E00, 0x5200
+
+
 def han_bigrams(c: Column | str) -> Column:
     """Distinct pairs of Han characters, taken without overlap."""
     return F.array_distinct(F.regexp_extract_all(_col(c), F.lit(V.HAN + "{2}"), F.lit(0)))
 
 
+def han_bigram_codes(c: Column | str) -> Column:
+    """The distinct pairs of ``han_bigrams`` as numbers: two code points in one int."""
+    code = lambda s: (F.ascii(s) - HAN_FIRST) * HAN_SIZE + F.ascii(F.substring(s, 2, 1)) - HAN_FIRST
+    return F.transform(han_bigrams(c), code)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two distinct-element arrays, zero if either is empty."""
     both = F.size(F.array_intersect(a, b))
@@ -267,7 +276,10 @@ def length_ratio_ok(src: Column | str, tgt: Column | str, low: float = 0.4, high
     return length_ratio(src, tgt).between(low, high)
 
 
-def length_gap_ok(src: Column | str, tgt: Column | str, below: float = 0.6) -> Column:
+LENGTH_GAP = 0.6
+
+
+def length_gap_ok(src: Column | str, tgt: Column | str, below: float = LENGTH_GAP) -> Column:
     src, tgt = _col(src), _col(tgt)
     return F.abs(F.length(tgt) - F.length(src)) / F.greatest(F.length(src), F.lit(1)) < below
 

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scores import cosine
-from ..functions.text import (
-    drop_space, han_bigrams, has_page_header, is_contaminated, is_heading, jaccard, length_gap_ok, length_ratio_ok, let,
-    strip_space,
-)
+from ..functions.text import LENGTH_GAP, drop_space, has_page_header, is_contaminated, is_heading, length_ratio_ok, let, strip_space
+from .align import aligned
 
 ORIGIN_ORDER = {"real": 0, "wechat_real": 1, "synth": 2}  # fixed values
 
@@ -38,37 +36,10 @@ def version_pairs(docs: DataFrame, title: str = "title", doc: str = "doc_id", sc
 
 # --- alignment ---------------------------------------------------------------------------------------------------
 
-def _prefix_tokens(sents: DataFrame, freq: DataFrame, pair: str, idx: str, threshold: float) -> DataFrame:
-    """The tokens of each sentence that a partner at ``threshold`` cannot avoid: all but its most frequent ones.
-
-    A partner must share at least ceil(t * n) of the n tokens, so with both sides in one token order the first
-    n - ceil(t * n) + 1 tokens of the two must meet.
-    """
-    tok = sents.select(pair, idx, F.size("_tok").alias("_n"), F.explode("_tok").alias("_t"))
-    tok = tok.join(freq, [pair, "_t"], "left").withColumn("_f", F.coalesce("_f", F.lit(0)))
-    order = Window.partitionBy(pair, idx).orderBy("_f", "_t")
-    keep = F.col("_n") - F.ceil(F.lit(threshold) * F.col("_n") - 1e-9) + 1
-    return tok.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= keep).select(pair, idx, "_n", "_t")
-
-
 def similar_sentences(src: DataFrame, tgt: DataFrame, threshold: float, pair: str = "pair_id", src_idx: str = "i",
                       tgt_idx: str = "j", sentence: str = "sentence") -> DataFrame:
-    """All (pair, i, j) whose bigram Jaccard similarity reaches ``threshold``, with the similarity. Exact.
-
-    Candidates come from an equi-join on rare tokens and a size bound, not from comparing all sentences of two
-    documents; the similarity is computed for candidates only.
-    """
-    left = src.select(pair, src_idx, han_bigrams(sentence).alias("_tok")).filter(F.size("_tok") > 0)
-    right = tgt.select(pair, tgt_idx, han_bigrams(sentence).alias("_tok")).filter(F.size("_tok") > 0)
-    freq = right.select(pair, F.explode("_tok").alias("_t")).groupBy(pair, "_t").agg(F.count("*").alias("_f"))
-    lp = _prefix_tokens(left, freq, pair, src_idx, threshold).withColumnRenamed("_n", "_ln")
-    rp = _prefix_tokens(right, freq, pair, tgt_idx, threshold).withColumnRenamed("_n", "_rn")
-    fits = (F.col("_rn") >= F.lit(threshold) * F.col("_ln") - 1e-9) & (F.col("_ln") >= F.lit(threshold) * F.col("_rn") - 1e-9)
-    cand = lp.join(rp, [pair, "_t"]).filter(fits).select(pair, src_idx, tgt_idx).distinct()
-    out = cand.join(left.withColumnRenamed("_tok", "_a"), [pair, src_idx]).join(
-        right.withColumnRenamed("_tok", "_b"), [pair, tgt_idx]
-    )
-    return out.select(pair, src_idx, tgt_idx, jaccard(F.col("_a"), F.col("_b")).alias("sim")).filter(F.col("sim") >= threshold)
+    """All (pair, i, j) whose bigram Jaccard similarity reaches ``threshold``, with the similarity. Exact."""
+    return aligned(src, tgt, threshold, pair, src_idx, tgt_idx, sentence)
 
 
 def _pair_rows(best: DataFrame, src: DataFrame, tgt: DataFrame, pair: str) -> DataFrame:
@@ -82,15 +53,13 @@ def best_match_pairs(src: DataFrame, tgt: DataFrame, pair: str = "pair_id", min_
     """Each source sentence with its most similar target (earliest on ties), then the length, header and drop gates.
 
     ``src(pair, i, sentence, p)`` and ``tgt(pair, j, sentence, p)``. One row per source text: the first by (pair, i).
+    What the source sentence alone decides is asked before the alignment.
     """
-    sims = similar_sentences(src, tgt, min_sim, pair)
-    best = sims.groupBy(pair, "i").agg(F.max(F.struct("sim", (-F.col("j")).alias("nj"))).alias("b"))
-    best = best.select(pair, "i", (-F.col("b.nj")).alias("j"), F.col("b.sim").alias("sim"))
-    rows = _pair_rows(best, src, tgt, pair)
+    src = src.filter((F.col("p") >= min_score) & ~has_page_header("sentence"))
+    rows = _pair_rows(aligned(src, tgt, min_sim, pair, pick="best"), src, tgt, pair)
     rows = rows.filter(
         length_ratio_ok("src_ai", "tgt_human")
-        & ~has_page_header("src_ai") & ~has_page_header("tgt_human")
-        & (F.col("src_ai_prob") >= min_score)
+        & ~has_page_header("tgt_human")
         & (F.col("tgt_ai_prob") < F.col("src_ai_prob") - min_drop)
         & (F.col("src_ai") != F.col("tgt_human"))
     )
@@ -107,10 +76,7 @@ def first_match_pairs(src: DataFrame, tgt: DataFrame, pair: str = "pair_id", min
     if first is not None:
         src, tgt = src.filter(F.col("i") < first), tgt.filter(F.col("j") < first)
     src = src.filter(F.col("p") >= min_score)
-    rows = _pair_rows(similar_sentences(src, tgt, min_sim, pair), src, tgt, pair)
-    rows = rows.filter((F.col("tgt_ai_prob") < F.col("src_ai_prob") - min_drop) & length_gap_ok("src_ai", "tgt_human"))
-    pick = F.min(F.struct("j", "tgt_human", "src_ai_prob", "tgt_ai_prob", "sim")).alias("r")
-    best = rows.groupBy(pair, "i", "src_ai").agg(pick).select(pair, "i", "src_ai", "r.*")
+    best = _pair_rows(aligned(src, tgt, min_sim, pair, pick="first", min_drop=min_drop, max_gap=LENGTH_GAP), src, tgt, pair)
     once = F.min(F.struct(pair, "i", "j", "tgt_human", "src_ai_prob", "tgt_ai_prob", "sim")).alias("r")
     return best.groupBy("src_ai").agg(once).select("src_ai", "r.*")
 
