@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import context_calibrated, gate_calibrated, gate_open
@@ -40,6 +40,44 @@ def isotonic_curve(model: IsotonicRegressionModel) -> tuple[list[float], list[fl
     return [float(x) for x in model.boundaries], [float(y) for y in model.predictions]
 
 
+def isotonic_segments(spark: SparkSession, model: IsotonicRegressionModel) -> DataFrame:
+    """The fitted map as rows: ``x0, x1, y0, slope`` for scores from x0 up to (not including) x1, from the least to the greatest double."""
+    xs, ys = isotonic_curve(model)
+    knots = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(xs, ys))], "i int, x double, y double")
+    after = knots.select((F.col("i") - 1).alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    inner = knots.join(after, "i").filter(F.col("x1") > F.col("x")).select(
+        F.col("x").alias("x0"), "x1", F.col("y").alias("y0"), ((F.col("y1") - F.col("y")) / (F.col("x1") - F.col("x"))).alias("slope")
+    )
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
+    ends = knots.agg(F.min("x").alias("a"), F.min_by("y", "i").alias("ya"), F.max("x").alias("b"), F.max_by("y", "i").alias("yb"))
+    flat = F.inline(F.array(
+        F.struct(low.alias("x0"), F.col("a").alias("x1"), F.col("ya").alias("y0"), F.lit(0.0).alias("slope")),
+        F.struct(F.col("b").alias("x0"), high.alias("x1"), F.col("yb").alias("y0"), F.lit(0.0).alias("slope")),
+    ))
+    return inner.unionByName(ends.select(flat))
+
+
+def isotonic_scores(df: DataFrame, model: IsotonicRegressionModel, score: str = "p", out: str = "p_iso", buckets: int = 1024) -> DataFrame:
+    """Rows with the fitted probability of their score: an as-of join of scores with knots.
+
+    Each segment of the map is written for every bucket of scores that it touches, so a row meets, by equality on the
+    bucket, only the few segments of its own; an interval condition picks the one. There are at most as many segment rows
+    as knots and buckets together, whatever the number of rows. A null score has a null probability; a score that is no
+    number lies, as in Spark's order, above all others.
+    """
+    bucket = lambda x: F.least(F.greatest(F.floor(x * buckets), F.lit(-1)), F.lit(buckets))  # noqa: E731  -1 and `buckets`: all scores outside [0, 1)
+    first = F.when(F.col("x0") == float("-inf"), F.lit(-1)).otherwise(bucket(F.col("x0")))
+    last = F.when(F.col("x1") == float("inf"), F.lit(buckets)).otherwise(bucket(F.col("x1")))
+    segments = isotonic_segments(df.sparkSession, model).withColumn("_b", F.explode(F.sequence(first, last)))
+    p = F.col(score).cast("double")
+    plain = F.when(F.isnan(p) | (p == float("inf")), F.lit(buckets)).when(p == float("-inf"), F.lit(-1)).otherwise(bucket(p))
+    rows = df.withColumn("_p", p).withColumn("_b", plain.cast("bigint"))
+    own, x0, x1, y0, slope = (F.col(c) for c in ("r._p", "s.x0", "s.x1", "s.y0", "s.slope"))
+    inside = (F.col("r._b") == F.col("s._b")) & (own >= x0) & ((own < x1) | (x1 == float("inf")))
+    at = F.when(slope == 0, y0).otherwise(y0 + slope * (own - x0))
+    return rows.alias("r").join(segments.alias("s"), inside, "left").select(*[F.col(f"r.`{c}`") for c in df.columns], at.alias(out))
+
+
 def isotonic_map(model: IsotonicRegressionModel):
     """The fitted map as a column function, so that it can run inside arrays: ``isotonic_map(m)(column)``."""
     xs, ys = isotonic_curve(model)

@@ -240,6 +240,32 @@ def open_issues(issues: DataFrame) -> DataFrame:
     ).orderBy("rank", "id")
 
 
+#: log2 of the number of registers of a sketch; its relative standard error is 1.04 / sqrt(registers).
+SKETCH_BITS = 14
+
+
+def sketch_error(bits: int = SKETCH_BITS) -> float:
+    return 1.04 / (1 << bits) ** 0.5
+
+
+def distinct_sketches(df: DataFrame, column: str, by, bits: int = SKETCH_BITS) -> DataFrame:
+    """One mergeable sketch (HyperLogLog, a few KB) of a column's values and the number of rows for each partition key.
+
+    Store them next to the data: unions of partitions, and partitions that come later, are then counted without a rescan.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    value = F.col(column)
+    value = value if dict(df.dtypes)[column] in ("string", "binary", "int", "bigint") else value.cast("string")
+    return df.groupBy(*by).agg(F.hll_sketch_agg(value, bits).alias("sketch"), F.count(column).alias("n"))
+
+
+def merged_sketches(sketches: DataFrame, by=()) -> DataFrame:
+    """Estimated distinct values and rows over all stored sketches, or per ``by``; only sketches are read."""
+    by = [by] if isinstance(by, str) else list(by)
+    out = sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"), F.sum("n").alias("n"))
+    return out.withColumn("n_estimated", F.hll_sketch_estimate("sketch"))
+
+
 def distinct_counts(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     n = F.approx_count_distinct(column) if approximate else F.count_distinct(column)
     return df.agg(n.cast("bigint").alias("n_distinct"), F.count(column).alias("n"))

@@ -598,6 +598,30 @@ def agg16_distinct_counts(spark, d):
     return E.distinct_counts(D.en_rows(spark, d), "sentence")
 
 
+_WORDS_SQL = "regexp_extract_all(text, '[^ \\n]+')"
+
+
+@query("agg16_sketches", sql=f"""
+WITH w AS (SELECT lang, source, unnest({_WORDS_SQL}) AS word FROM documents), u AS (SELECT lang, word FROM w UNION ALL SELECT 'all', word FROM w)
+SELECT lang, count(DISTINCT word) AS n_distinct, count(*) AS n, true AS within FROM u GROUP BY lang
+""")
+def agg16_sketches(spark, d):
+    """Distinct words per language and over all, from sketches stored per language and source, beside the exact counts.
+
+    ``within``: the estimate is no farther from the exact count than four standard errors.
+    """
+    docs = read_table(spark, d, "documents", ["lang", "source", "text"])
+    words = docs.select("lang", "source", F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))).alias("word"))
+    path = _scratch(spark, "sketches")
+    E.distinct_sketches(words, "word", ["lang", "source"]).write.partitionBy("lang").parquet(path)
+    stored = spark.read.schema("source string, sketch binary, n bigint, lang string").parquet(path)
+    estimated = E.merged_sketches(stored, "lang").unionByName(E.merged_sketches(stored).withColumn("lang", F.lit("all"))).select("lang", "n_estimated")
+    both = words.select("lang", "word").unionByName(words.select(F.lit("all").alias("lang"), "word"))
+    exact = both.groupBy("lang").agg(F.count_distinct("word").alias("n_distinct"), F.count("word").alias("n"))
+    far = F.abs(F.col("n_estimated") - F.col("n_distinct")) <= 4 * E.sketch_error() * F.col("n_distinct")
+    return exact.join(estimated, "lang").select("lang", "n_distinct", "n", far.alias("within"))
+
+
 @query("win10_best_f1", sql=f"""
 WITH v AS (SELECT source, q, count(*) FILTER (label = 1) AS pos, count(*) AS n FROM {_TIED} GROUP BY source, q),
 c AS (SELECT source, q, sum(pos) OVER w AS tp, sum(n) OVER w AS hit, sum(pos) OVER (PARTITION BY source) AS np FROM v WINDOW w AS (PARTITION BY source ORDER BY q DESC)),
