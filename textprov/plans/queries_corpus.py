@@ -18,6 +18,8 @@ from ..session import checkpoint_dir
 from ..sources.records import public_samples
 from ..sources.tables import read_table
 from ..streaming import ingest as STREAM
+from ..streaming import retrain as RETRAIN
+from ..streaming.known import KnownTexts
 from . import derived as D
 from .queries_scores import _report_pages, fused_documents
 from .queries_scores import DETECT_CTES, _INNER_SQL, _PLAIN
@@ -742,11 +744,45 @@ def _mark_pages(pages):
     return mark_pages(pages)
 
 
+@query("str1_known_texts", sql="SELECT md5(text) AS text_hash, min(doc_id % 3) AS arrival FROM documents WHERE text IS NOT NULL GROUP BY text")
+def str1_known_texts(spark, d):
+    """All documents in three arrivals into one table of texts, each of them twice: a text is there once, with its first arrival."""
+    known = KnownTexts(spark, _scratch(spark, "texts"))
+    hashes = _doc_table(spark, d, "text").filter(F.col("text").isNotNull()).select(F.md5("text").alias("text_hash"), (F.col("doc_id") % 3).alias("arrival"))
+    for arrival in (0, 1, 0, 2, 2):
+        known.append(hashes.filter(F.col("arrival") == arrival).distinct())
+    return spark.read.schema("text_hash string, arrival bigint, prefix string").parquet(known.target).select("text_hash", "arrival")
+
+
+@query("str2_due_stream", sql=f"""
+WITH a AS (SELECT page_id, span_idx, {_PLAIN} AS text, CASE WHEN pct >= 60 THEN 'high' WHEN pct >= 40 THEN 'medium' ELSE 'human' END AS label
+  FROM ({_INNER_SQL}) WHERE length({_PLAIN}) > 3 AND {D.han_count_sql(_PLAIN)} > 0),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY page_id % 2, page_id, span_idx) AS k FROM a) WHERE k = 1),
+n AS (SELECT label, count(*) FILTER (page_id % 2 = 0) AS n0, count(*) FILTER (page_id % 2 = 1) AS n1 FROM f GROUP BY label)
+SELECT label AS model, n0 + n1 AS n_new FROM n WHERE n0 >= 100
+""")
+def str2_due_stream(spark, d):
+    """Annotations of the even pages are ingested, and a day later those of the odd ones; a counter per label follows the
+    annotation table and is stopped in between. Labels that reach 100 on the first day are due an hour later, so once, with all."""
+    pages = read_table(spark, d, "pages")
+    target, due, state = _scratch(spark, "annotations"), _scratch(spark, "due"), _scratch(spark, "due-state")
+    schema = "text string, prob double, label string, text_hash string, batch_id bigint, prefix string"
+    for half in (0, 1):
+        rows = REP.span_annotations(_mark_pages(pages.filter(F.col("page_id") % 2 == half)), ["page_id"])
+        STREAM.append_new(rows, target, ["page_id", "span_idx"], half)
+        with RETRAIN.timed_state(spark):
+            arrivals = spark.readStream.schema(schema).parquet(target).withColumn("arrived", F.timestamp_seconds(F.col("batch_id") * 86400))
+            out = RETRAIN.due_rows(arrivals, "arrived", "label", threshold=100).writeStream.format("parquet").outputMode("append").option("path", due)
+            q = out.option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(RETRAIN.DUE_SCHEMA).parquet(due)
+
+
 @query("str4_window_counts", sql="""
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2
 """)
 def str4_window_counts(spark, d):
-    """Events as a file stream, counted per day and type in complete mode."""
+    """Events counted per day and type; the batch side of the streams below."""
     return _counts(STREAM.window_counts(_event_table(spark, d)))
 
 
@@ -776,6 +812,53 @@ def str4_stream_counts(spark, d):
     return _counts(spark.read.parquet(target))
 
 
+def _arrivals(spark, name, slices, build, columns):
+    """``build(stream)`` in append mode over slices that arrive one after another; stopped and started again for each."""
+    arrived, out, state = _scratch(spark, f"{name}-in"), _scratch(spark, f"{name}-out"), _scratch(spark, f"{name}-state")
+    for rows in slices:
+        rows.write.mode("append").parquet(arrived)
+        stream = build(spark.readStream.schema(rows.schema).parquet(arrived)).writeStream.format("parquet").outputMode("append")
+        stream.option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(columns).parquet(out)
+
+
+def _timed_events(spark, d):
+    """Events with UTC times, and whether they are of the first half of all time, before ``mid`` (a day's start)."""
+    ev = read_table(spark, d, "events", ["event_id", "ts", "event_type", "value"]).withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = ev.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    mid = ends.select(F.date_trunc("day", F.timestamp_seconds((F.unix_seconds("a") + F.unix_seconds("b")) / 2)).alias("mid")).scalar()
+    return ev.withColumn("early", F.col("ts") < mid)
+
+
+_MID = "(SELECT date_trunc('day', to_timestamp((epoch(min(ts)) + epoch(max(ts))) // 2)::TIMESTAMP) FROM events)"
+
+
+@query("str4_append_counts", sql=f"""
+WITH e AS (SELECT *, event_id % 50 = 0 AND ts < {_MID} AS held FROM events), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM e WHERE NOT held),
+k AS (SELECT e.* FROM e, m WHERE NOT held OR date_trunc('day', ts) + INTERVAL 1 DAY > mark)
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM k, m GROUP BY 1, 2, date_trunc('day', ts), mark HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= mark
+""")
+def str4_append_counts(spark, d):
+    """Counts per day and type in append mode: a window leaves once, when the watermark has passed it. One in fifty events of
+    the first half comes last, when its window is closed, and is dropped; the windows of the last hour stay open."""
+    ev = _timed_events(spark, d)
+    held = F.col("early") & (F.col("event_id") % 50 == 0)
+    slices = [ev.filter("early").filter(~held), ev.filter("NOT early"), ev.filter(held)]
+    out = _arrivals(spark, "append-counts", slices, lambda s: STREAM.window_counts(s, delay="1 hour"), "window_start timestamp, event_type string, n bigint, total double")
+    return _counts(out)
+
+
+@query("str4_dedup_arrivals", sql="SELECT event_id, event_type, count(*) AS n FROM events GROUP BY event_id, event_type")
+def str4_dedup_arrivals(spark, d):
+    """Every event once, though all of the first half arrive twice in one go, and again with the second half: the copies of the
+    last hour meet the state, the older ones are late."""
+    ev = _timed_events(spark, d).withColumn("text", F.concat_ws("|", "event_id", "event_type"))
+    first = ev.filter("early")
+    out = _arrivals(spark, "dedup", [first.unionAll(first), ev], lambda s: STREAM.dedup_arrivals(s, "ts", "1 hour").select("event_id", "event_type"), "event_id bigint, event_type string")
+    return out.groupBy("event_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("str2_retrain_due", sql="""
 SELECT CAST(sum(n_new) AS BIGINT) AS n_new, max(batch_id) AS last_batch, sum(n_new) >= 500 AS due FROM (
   SELECT event_id // 1000 AS batch_id, count(DISTINCT user_id) AS n_new FROM events GROUP BY 1) WHERE batch_id > 2

@@ -10,30 +10,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.corpus import dedup_first
 from ..plans.detect import detect
+from .known import KnownTexts, read_or_empty
 
 ANNOTATION_COLUMNS = ["text", "prob", "label", "text_hash"]
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def append_new(batch: DataFrame, target: str, order: list[str], batch_id: int = -1) -> None:
     """Append the rows whose text hash the target does not hold, once each, marked with the number of their batch.
 
-    Running it again with the same batch appends nothing, so a replayed micro-batch does no harm.
+    The target's index of known texts decides which of its partitions are read at all. Running it again with the same
+    batch appends nothing, so a replayed micro-batch does no harm.
     """
-    spark = batch.sparkSession
-    schema = "text string, prob double, label string, text_hash string"
-    existing = read_or_empty(spark, target, schema).select("text_hash")
     fresh = dedup_first(batch.select("text", "prob", "label", *[c for c in order if c not in ("text", "prob", "label")]), order)
-    fresh = fresh.withColumn("text_hash", F.md5("text")).join(existing, "text_hash", "left_anti").select(*ANNOTATION_COLUMNS, F.lit(batch_id).cast("bigint").alias("batch_id"))
-    fresh.write.mode("append").parquet(target)
+    rows = fresh.withColumn("text_hash", F.md5("text")).select(*ANNOTATION_COLUMNS, F.lit(batch_id).cast("bigint").alias("batch_id"))
+    KnownTexts(batch.sparkSession, target).append(rows)
 
 
 def ingest_reports(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], target: str, checkpoint: str,
