@@ -18,12 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_lists, written
+from .common import scratch_path, text_lists
 
 BUCKETS = 1 << 20
 SIZES = (3, 4, 5)
@@ -41,10 +41,14 @@ class Model:
     def __init__(self, buckets: np.ndarray, weights: np.ndarray, intercept: float) -> None:
         self.buckets, self.weights, self.intercept = buckets, weights, intercept
 
-    def table(self) -> np.ndarray:
-        out = np.zeros(BUCKETS)
-        out[self.buckets] = self.weights
-        return out
+    def plain(self) -> tuple[np.ndarray, np.ndarray, float]:
+        return self.buckets, self.weights, self.intercept
+
+
+def _weight_table(buckets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    out = np.zeros(BUCKETS)
+    out[buckets] = weights
+    return out
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -81,7 +85,8 @@ def _present(codes: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None =
 
 def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label_id: str, label: str) -> DataFrame:
     known = labels.select(F.col(label_id).alias("id"), F.col(label).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(known.groupBy("id").agg(F.max("label").alias("label")), "id")
+    # one plan at every size: both sides are dealt by id, whatever the table of labels weighs
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(known.groupBy("id").agg(F.max("label").alias("label")).hint("merge"), "id")
 
 
 def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -142,11 +147,15 @@ def fit(
                 ], names=["label", "indices", "values"])
 
     some = known.filter(F.col(label_id).isNotNull()).orderBy(F.xxhash64(label_id), label_id).limit(max_fit_rows)
-    sample = _labelled(docs, F.broadcast(some), doc_id, text, label_id, label).select("text", "label")  # max_fit_rows ids at most
-    vector = F.udf(lambda i, v: SparseVector(width, i, v), VectorUDT())
-    # few partitions of a bounded sample: gradients are added up without a shuffle in every iteration
-    rows = written(sample.mapInArrow(features, "label double, indices array<int>, values array<double>").repartition(4), "toxicity-sample")
-    rows = rows.select("label", vector("indices", "values").alias("features"))
+    some = some.select(F.col(label_id).alias("id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id").select("text", "label")  # max_fit_rows ids at most
+    # few partitions of a bounded sample, dealt while it is text: gradients are added up without a shuffle in every iteration
+    rows = texts.repartition(4).mapInArrow(features, "label double, indices array<int>, values array<double>")
+    sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(width).alias("size"), "indices", "values").alias("features")
+    path = scratch_path(spark, "toxicity-sample")
+    rows.select("label", sparse).write.parquet(path)
+    # the struct is what a vector column is made of: it is read as one
+    rows = spark.read.schema(T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())])).parquet(path)
     fitted = LogisticRegression(regParam=penalty, standardization=False, maxIter=60, tol=1e-4, family="binomial").fit(rows)
     return Model(chosen, np.asarray(fitted.coefficients) * scale, float(fitted.intercept))
 
@@ -163,23 +172,25 @@ def _scored(batch: pa.RecordBatch, text: str, table: np.ndarray, intercept: floa
 def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score of every document."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights at most
+    sent = docs.sparkSession.sparkContext.broadcast(model.plain())  # BUCKETS weights at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value.table()
+        buckets, weights, intercept = sent.value
+        table = _weight_table(buckets, weights)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scored(batch, "text", table, sent.value.intercept))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scored(batch, "text", table, intercept))], names=["doc_id", "score"])
 
     return docs.mapInArrow(score, T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())]))
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents with a score below ``threshold``, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value.table()
+        buckets, weights, intercept = sent.value
+        table = _weight_table(buckets, weights)
         for batch in batches:
-            yield batch.filter(pa.array(_scored(batch, text, table, sent.value.intercept) < threshold))
+            yield batch.filter(pa.array(_scored(batch, text, table, intercept) < threshold))
 
     return docs.mapInArrow(clean, docs.schema)
