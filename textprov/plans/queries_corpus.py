@@ -15,6 +15,7 @@ from ..operators import models as M
 from ..operators import pairs as P
 from ..operators import reports as REP
 from ..session import checkpoint_dir
+from ..sources import files as FILES
 from ..sources.records import public_samples
 from ..sources.tables import read_table
 from ..streaming import ingest as STREAM
@@ -744,6 +745,24 @@ def _mark_pages(pages):
     return mark_pages(pages)
 
 
+@query("src7_sink", sql="""
+SELECT md5(text) AS text_hash, lang, doc_id % 2 = 0 AS is_ai,
+  CAST(min(CASE WHEN lang = 'fr' THEN CASE WHEN doc_id % 3 < 2 THEN 2 ELSE 3 END WHEN doc_id % 3 = 0 THEN 1 ELSE 3 END) AS INT) AS step
+FROM documents WHERE text IS NOT NULL GROUP BY text, lang, doc_id % 2
+""")
+def src7_sink(spark, d):
+    """A third of the documents is written by language and class, the French partitions are replaced by two thirds, then all
+    documents are merged, twice: every text is there once a partition, with the step that brought it."""
+    path = _scratch(spark, "samples")
+    docs = _doc_table(spark, d, "text", "lang").select("doc_id", "text", "lang", (F.col("doc_id") % 2 == 0).alias("is_ai"))
+    sample = lambda condition, step: docs.filter(condition).select("text", F.lit(step).alias("step"), "lang", "is_ai").distinct()
+    FILES.overwrite_partitions(sample("doc_id % 3 = 0", 1), path)
+    FILES.overwrite_partitions(sample("doc_id % 3 < 2 AND lang = 'fr'", 2), path)
+    for _ in range(2):
+        FILES.merge_samples(sample("true", 3), path)
+    return spark.read.schema("text string, step int, lang string, is_ai boolean").parquet(path).select(F.md5("text").alias("text_hash"), "lang", "is_ai", "step")
+
+
 @query("str1_known_texts", sql="SELECT md5(text) AS text_hash, min(doc_id % 3) AS arrival FROM documents WHERE text IS NOT NULL GROUP BY text")
 def str1_known_texts(spark, d):
     """All documents in three arrivals into one table of texts, each of them twice: a text is there once, with its first arrival."""

@@ -38,6 +38,35 @@ def write_samples(df: DataFrame, path: str, mode: str = "overwrite", fmt: str =
     (writer.parquet if fmt == "parquet" else writer.json)(path)
 
 
+def overwrite_partitions(df: DataFrame, path: str, by: tuple[str, ...] = ("lang", "is_ai")) -> None:
+    """Replace the partitions that ``df`` has rows of and leave all others as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def merge_samples(df: DataFrame, path: str, text: str = "text", by: tuple[str, ...] = ("lang", "is_ai")) -> None:
+    """Append the samples whose text their partition of ``path`` does not hold, each once: a rerun appends nothing.
+
+    Only partitions that ``df`` has rows of are read, and of them only the texts' hashes are compared. Of equal samples of
+    one partition one is kept, the least by its other columns. ``path`` must exist and have the columns of ``df``.
+    """
+    rest = [c for c in df.columns if c not in (text, *by)]
+    key = F.sha2(F.col(text), 256)
+    rows = df.filter(F.col(text).isNotNull()).groupBy(*by, key.alias("_key")).agg(F.min(F.struct(*rest, text)).alias("_row"))
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    touched = F.lit(False)
+    for r in df.select(*by).distinct().collect():  # names of partitions
+        one = F.lit(True)
+        for c in by:
+            one = one & (F.col(c).isNull() if r[c] is None else F.col(c) == F.lit(r[c]))
+        touched = touched | one
+    stored = stored.filter(touched).select(*by, key.alias("_key"))
+    same = F.col("a._key") == F.col("b._key")
+    for c in by:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    new = rows.alias("a").join(stored.alias("b"), same, "left_anti").select("_row.*", *by)
+    new.select(*df.columns).write.mode("append").partitionBy(*by).parquet(path)
+
+
 def issue_records(rows: DataFrame, description: Column | str, severity: Column | str | None = None,
                   scene: Column | str | None = None, key: Column | str | None = None) -> DataFrame:
     """Open issue records with id and time; severity and scene default to med and general."""
