@@ -107,6 +107,11 @@ def set4_clean_pairs(spark, d):
     return P.contaminated_count(_pairs(spark, d))
 
 
+@query("set4_kept_pairs", sql=f"SELECT doc_id, sent_idx FROM {_PAIRS} WHERE NOT ({_contaminated_sql('src_ai')} OR {_contaminated_sql('tgt_human')})")
+def set4_kept_pairs(spark, d):
+    return P.clean_pairs(_pairs(spark, d)).select("doc_id", "sent_idx")
+
+
 # --- joins -------------------------------------------------------------------------------------------------------
 
 _HALF = "doc_id % 2 = 0"
@@ -581,6 +586,19 @@ def agg13_issue_summary(spark, d):
     return E.issue_summary(ev.select(F.expr(_SEVERITY).alias("severity"), status.alias("status")))
 
 
+@query("agg13_open_issues", sql=f"""
+SELECT event_id AS id, severity, CASE severity WHEN 'high' THEN 0 WHEN 'med' THEN 1 WHEN 'low' THEN 2 ELSE 3 END AS rank, substr(description, 1, 50) AS description
+FROM (SELECT event_id, {_SEVERITY} AS severity, repeat(event_type || ' of ' || user_id || ' ', 4) AS description FROM events WHERE user_id % 3 <> 0)
+""")
+def agg13_open_issues(spark, d):
+    """All open issues, the most severe first."""
+    ev = read_table(spark, d, "events", ["event_id", "event_type", "user_id"])
+    status = F.when(F.col("user_id") % 3 != 0, "open").otherwise("fixed")
+    text = F.repeat(F.concat("event_type", F.lit(" of "), F.col("user_id").cast("string"), F.lit(" ")), 4)
+    out = E.open_issues(ev.select(F.col("event_id").alias("id"), F.expr(_SEVERITY).alias("severity"), status.alias("status"), text.alias("description")))
+    return out.select("id", "severity", "rank", "description")
+
+
 _STREAMS = f"""(SELECT label, unnest(['stat', 'deep', 'fused']) AS stream, unnest([p_stat, p_deep, {D.fuse_sql()}]) AS p FROM {D.SCORED_ROWS})"""
 
 
