@@ -7,7 +7,7 @@ only the others, and only the partitions they fall in, are looked up in the tabl
 much costs a lookup and changes no result.
 
 The filter is written before the table: a batch that was stopped in between finds its bits, looks its hashes up, and adds
-its rows. Blocks hold about 2,000 hashes each at a rate of false positives of 0.3 %; ``bits`` is set per partition.
+its rows. With five bits a hash, a block of 2,500 hashes has 0.3 % false positives (by formula); ``bits`` is set per partition.
 """
 
 from __future__ import annotations
