@@ -128,6 +128,10 @@ class TestBlock:
     item: np.ndarray
     item_word: np.ndarray
 
+    def plain(self) -> tuple:
+        """What is broadcast: a class of this package would need a copy of it on the executors."""
+        return self.items, self.windows, self.lengths, self.first, self.item, self.item_word
+
 
 def test_block(rows: list[tuple[str, str]], window: int) -> TestBlock:
     hasher = Hasher()
@@ -212,14 +216,14 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int, blo
     out = []
     for k in range(n):
         part = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
-        out.append(spark.sparkContext.broadcast(test_block([tuple(r) for r in part], window)))
+        out.append(spark.sparkContext.broadcast(test_block([tuple(r) for r in part], window).plain()))
     return out
 
 
 def _judged(batch: pa.RecordBatch, text: str, hasher: Hasher, blocks: list, window: int) -> Iterator[tuple]:
     for lo, hi, data, offsets in text_slices(batch.column(text)):
         hashes, rows = hasher.words(data, offsets)
-        n_hit, items, matches = _shard(hashes, rows, [b.value for b in blocks], window)
+        n_hit, items, matches = _shard(hashes, rows, [TestBlock(*b.value) for b in blocks], window)
         yield lo, hi, np.diff(rows), n_hit, items, matches
 
 

@@ -66,7 +66,13 @@ def _masks() -> Column:
 
 def added(a: Column, b: Column) -> Column:
     """The fingerprint of the paragraphs of both."""
-    return F.zip_with(F.zip_with(a, b, lambda x, y: (x.bitwiseAND(F.lit(_MASK >> 1)) + y.bitwiseAND(F.lit(_MASK >> 1)))), _masks(), lambda x, m: x.bitwiseAND(m))
+
+    def total(x: Column, y: Column) -> Column:
+        # the highest bit is added without its carry, as a sum of two numbers of 63 bits need not fit a long
+        low = x.bitwiseAND(F.lit(_MASK >> 1)) + y.bitwiseAND(F.lit(_MASK >> 1))
+        return low.bitwiseXOR(x.bitwiseXOR(y).bitwiseAND(F.lit(_MASK ^ _MASK >> 1)))
+
+    return F.zip_with(F.zip_with(a, b, total), _masks(), lambda x, m: x.bitwiseAND(m))
 
 
 def removed(a: Column, b: Column) -> Column:

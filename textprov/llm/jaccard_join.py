@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, Hasher, mixed, text_slices, written
+from .common import Hasher, SLICE_BYTES, free_names, mixed, text_slices, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -410,10 +410,14 @@ def _own_texts(texts: DataFrame, words: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` with the row of the least id of every class only. Rows without an id always stay. A document is an id and a text."""
+    """``docs`` with the row of the least id of every class only. Rows without an id always stay. A document is an id and a
+    text; of its repeated rows the one of the least hash of all columns stays."""
+    of, hashed, key, nth = free_names(docs, "gone_id", "gone_hash", "text_key", "nth")
     classes = _classes(docs, doc_id, text, **how)
-    gone = written(classes.filter("id <> class_id").select(F.col("id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct(), "duplicates")
-    same = (F.col(doc_id) == F.col("_gone_id")) & (F.col("_gone_key") == F.col("_gone_hash"))
-    left = docs.withColumn("_gone_key", F.xxhash64(text)).join(gone.hint("merge"), same, "left_anti")
-    nth = F.row_number().over(Window.partitionBy(doc_id, "_gone_key").orderBy(F.lit(1)))
-    return left.withColumn("_gone_nth", nth).filter((F.col("_gone_nth") == 1) | F.col(doc_id).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = written(classes.filter("id <> class_id").select(F.col("id").alias(of), F.col("text_hash").alias(hashed)).distinct(), "duplicates")
+    same = (F.col(doc_id) == F.col(of)) & (F.col(key) == F.col(hashed))
+    left = docs.withColumn(key, F.xxhash64(text)).join(gone.hint("merge"), same, "left_anti")
+    # maps have no hash and no order: rows that differ in them alone are equal here
+    rest = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    first = F.row_number().over(Window.partitionBy(doc_id, key).orderBy(F.xxhash64(*rest)))
+    return left.withColumn(nth, first).filter((F.col(nth) == 1) | F.col(doc_id).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])

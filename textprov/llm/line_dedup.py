@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_names, written
 
 MIN_WORDS = 50
 #: Rows that a window of the ranking holds on average at most, where values are spread evenly.
@@ -141,9 +141,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 
     A document that loses all its words stays as a row with what is left of its text.
     """
-    cuts = later_copies(docs, doc_id, text, min_words).select(F.col("d").alias("_cut_id"), F.col("h").alias("_cut_hash"), F.col("runs").alias("_cut_runs"), F.col("removed").alias("_cut_lines"))
-    joined = docs.join(cuts, F.col(doc_id).eqNullSafe(F.col("_cut_id")) & (F.xxhash64(text) == F.col("_cut_hash")), "left")
-    left = F.filter(F.split(F.col(text), "\n"), lambda x, n: ~F.exists("_cut_runs", lambda r: (r["first"] <= n) & (n <= r["last"])))
-    kept = F.when(F.col("_cut_runs").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    names = free_names(docs, "cut_id", "cut_hash", "cut_runs", "cut_lines")
+    cuts = later_copies(docs, doc_id, text, min_words).select("d", "h", "runs", "removed").toDF(*names)
+    of, hashed, runs, lines = names
+    joined = docs.join(cuts, F.col(doc_id).eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(hashed)), "left")
+    left = F.filter(F.split(F.col(text), "\n"), lambda x, n: ~F.exists(runs, lambda r: (r["first"] <= n) & (n <= r["last"])))
+    kept = F.when(F.col(runs).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     columns = [kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, *([F.coalesce("_cut_lines", F.lit(0)).alias(removed)] if removed else []))
+    return joined.select(*columns, *([F.coalesce(lines, F.lit(0)).alias(removed)] if removed else []))
