@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprov.llm.common import written
+from textprov.llm.common import free_names, written
 from textprov.llm.decontaminate import decontaminated
 from textprov.llm.jaccard_join import one_of_each
 from textprov.llm.line_dedup import deduplicated
@@ -27,9 +27,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of 50 words or more go, and documents that lose all their words by it."""
-    out = deduplicated(docs, removed="_removed")
-    out = out.filter((F.col("_removed") == 0) | F.col("text").rlike(r"\S"))
-    return out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    removed, = free_names(docs, "removed")
+    out = deduplicated(docs, removed=removed)
+    out = out.filter((F.col(removed) == 0) | F.col("text").rlike(r"\S"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
