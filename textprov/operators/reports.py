@@ -25,11 +25,16 @@ CHANCE = r"(?U)AI生成的可能性为[：:]\s*<i[^>]*>\s*([\d.]+)%"
 CHANCE_PLAIN = r"(?U)AI生成的可能性为[：:]\s*([\d.]+)%"
 
 
+#: Marks of a report that are placed together; runs of a paragraph that are joined together.
+MARKS, RUN_CHUNK = 128, 4096
+MARK = "array<struct<pct:double,n:int>>"
+
+
 def inline_segments(reports: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     """Sentences of reports with inline ``pct%(chars)`` marks: ``ids, seg_idx, sent_idx, sentence, prob, label``.
 
     The marks give the percentage and length of consecutive pieces of the cleaned body; pieces are found by the running
-    sum of the lengths before them, all inside the report's row.
+    sum of the lengths before them, all inside the report's row and in blocks of marks.
     """
     at = F.instr(F.col(text), BODY_MARK)
     body = F.substr(F.col(text), at + len(BODY_MARK))
@@ -39,19 +44,30 @@ def inline_segments(reports: DataFrame, ids: list[str], text: str = "text") -> D
     pcts = F.transform(F.regexp_extract_all("_body", F.lit(INLINE_MARK), F.lit(1)), lambda p: p.try_cast("double"))
     marks = F.arrays_zip(pcts.alias("pct"), chars.alias("n"))
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<pct:double,pos:int,n:int>>").alias("segs"))
-    segs = F.aggregate(
-        marks,
-        zero,
-        lambda a, m: F.struct(
-            (a["pos"] + m["n"]).alias("pos"),
-            F.concat(a["segs"], F.array(F.struct(m["pct"].alias("pct"), a["pos"].alias("pos"), m["n"].alias("n")))).alias("segs"),
-        ),
-        lambda a: a["segs"],
-    )
-    pieces = let(clean, lambda c: F.transform(
-        segs, lambda s: F.struct(s["pct"].alias("pct"), F.substr(c, s["pos"] + 1, s["n"]).alias("piece"))
-    ))
-    rows = slim.select(*ids, F.posexplode(pieces).alias("seg_idx", "s"))
+
+    def pieces(block: Column) -> Column:
+        """pct and text of the block's marks, by the running sum of the lengths before them."""
+        segs = F.aggregate(
+            block["marks"], zero,
+            lambda a, m: F.struct(
+                (a["pos"] + m["n"]).alias("pos"),
+                F.concat(a["segs"], F.array(F.struct(m["pct"].alias("pct"), a["pos"].alias("pos"), m["n"].alias("n")))).alias("segs"),
+            ),
+            lambda a: a["segs"],
+        )
+        return F.transform(segs, lambda s: F.struct(s["pct"].alias("pct"), F.substr(block["body"], s["pos"] + 1, s["n"]).alias("piece")))
+
+    def blocks(row: Column) -> Column:
+        """The marks in blocks, each with its part of the text: work on a block does not grow with the report."""
+        some = F.transform(F.sequence(F.lit(0), F.floor(F.size(row["marks"]) / MARKS).cast("int")), lambda k: F.slice(row["marks"], k * MARKS + 1, F.lit(MARKS)))
+        none = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<struct<pos:int,n:int,marks:{MARK}>>").alias("blocks"))
+        placed = F.aggregate(some, none, lambda a, b: let(F.aggregate(b, F.lit(0), lambda t, m: t + m["n"]), lambda n: F.struct(
+            (a["pos"] + n).alias("pos"), F.concat(a["blocks"], F.array(F.struct(a["pos"].alias("pos"), n.alias("n"), b.alias("marks")))).alias("blocks"))), lambda a: a["blocks"])
+        return F.transform(placed, lambda b: F.struct(F.substr(row["clean"], b["pos"] + 1, b["n"]).alias("body"), b["marks"].alias("marks")))
+
+    rows = slim.select(*ids, F.posexplode(let(F.struct(clean.alias("clean"), marks.cast(MARK).alias("marks")), blocks)).alias("_k", "_b"))
+    rows = rows.select(*ids, "_k", F.posexplode(pieces(F.col("_b"))).alias("_i", "s"))
+    rows = rows.select(*ids, (F.col("_k") * MARKS + F.col("_i")).alias("seg_idx"), "s")
     rows = rows.select(*ids, "seg_idx", F.col("s.pct").alias("_pct"),
                        F.posexplode(stop_sentences(F.col("s.piece"), longer_than=3)).alias("sent_idx", "sentence"))
     return rows.filter(has_han("sentence")).select(
@@ -59,22 +75,36 @@ def inline_segments(reports: DataFrame, ids: list[str], text: str = "text") -> D
     )
 
 
-def merge_runs(runs: DataFrame, keys: list[str] | None = None, position: str = "run_idx", text: str = "text") -> DataFrame:
+def merge_runs(runs: DataFrame, keys: list[str] | None = None, position: str = "run_idx", text: str = "text", chunk: int = RUN_CHUNK) -> DataFrame:
     """Adjacent runs of one paragraph with the same colour label, joined: ``keys, grp, text, label, prob``.
 
     Near-white runs separate their neighbours; pieces need more than four characters before stripping, and Han.
+    Runs are joined inside chunks of ``chunk`` positions first, then over the borders of chunks, so that no task holds a
+    whole paragraph; only the number of changes and the outer labels of a chunk meet those of its paragraph.
     """
     keys = keys or ["doc_id", "para_idx"]
+
+    def joined(at: str, of: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("i"), F.col(of).alias("t")))), lambda x: x["t"]), "")
+
     rows = runs.filter(F.col(text) != "").withColumn("label", R.colour_label("r", "g", "b"))
-    order = Window.partitionBy(*keys).orderBy(position)
+    rows = rows.select(*keys, F.floor(F.col(position) / chunk).alias("_chunk"), F.col(position).alias("_at"), "label",
+                       F.when(F.col("label") != "skip", F.col(text)).otherwise("").alias("_text"))
+    order = Window.partitionBy(*keys, "_chunk").orderBy("_at")
     changed = F.coalesce((F.lag("label").over(order) != F.col("label")).cast("int"), F.lit(0))
-    rows = rows.withColumn("_new", changed).withColumn("grp", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("i"), F.col(text).alias("t"))))
-    merged = (
-        rows.filter(F.col("label") != "skip")
-        .groupBy(*keys, "grp", "label")
-        .agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "").alias("text"))
-    )
+    rows = rows.withColumn("_new", changed).withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rows.groupBy(*keys, "_chunk", "_g", "label").agg(joined("_at", "_text").alias("_text"))
+    ends = rows.groupBy(*keys, "_chunk").agg(F.max("_g").alias("_last"), F.min_by("label", "_at").alias("_head"), F.max_by("label", "_at").alias("_tail"))
+    along = Window.partitionBy(*keys).orderBy("_chunk")
+    border = F.coalesce((F.lag("_tail").over(along) != F.col("_head")).cast("bigint"), F.lit(0))
+    step = border + F.coalesce(F.lag("_last").over(along), F.lit(0))
+    ends = ends.withColumn("_step", step).withColumn("_before", F.sum("_step").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.filter("_before > 0").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_chunk").alias("__chunk"), "_before")
+    same = F.col("_chunk").eqNullSafe(F.col("__chunk"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    parts = parts.join(ends, same, "left").withColumn("grp", F.col("_g") + F.coalesce("_before", F.lit(0)))
+    merged = parts.filter(F.col("label") != "skip").groupBy(*keys, "grp", "label").agg(joined("_chunk", "_text").alias("text"))
     return (
         merged.filter((F.length("text") > 4) & has_han("text"))
         .withColumn("text", strip_space("text"))

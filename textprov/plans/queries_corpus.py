@@ -970,6 +970,33 @@ def sco4_outside_scores(spark, d):
     return M.score_texts(rows, _Md5Scorer, "sentence").select("doc_id", big("sent_idx").alias("sent_idx"), r6("p_deep").alias("p_deep"))
 
 
+class _Md5FirstScorer:
+    """Another stand-in for an outside model: the first stand-in score."""
+
+    def __call__(self, texts):
+        from hashlib import md5
+        return [int(md5(t.encode()).hexdigest()[:4], 16) / 65535 for t in texts]
+
+
+@query("sco4_document_scores", sql=f"""
+SELECT doc_id, sent_idx, CASE WHEN lang = 'en' THEN NULL ELSE round(p_stat, 6) END AS p FROM {D.SCORED_ROWS}
+""")
+def sco4_document_scores(spark, d):
+    """Sentence arrays scored in their documents' rows; English documents stay without scores."""
+    docs = D.documents(spark, d, "lang").select("doc_id", F.col("lang").alias("text_lang"), T.en_sentences("text").alias("sents"))
+    out = M.score_documents(docs, _Md5FirstScorer, "scores", skip_english=True)
+    rows = out.select("doc_id", "scores", F.posexplode("sents").alias("sent_idx", "sentence"))
+    return rows.select("doc_id", big("sent_idx").alias("sent_idx"), r6(F.get("scores", F.col("sent_idx"))).alias("p"))
+
+
+@query("sco4_batched_column", sql=f"SELECT doc_id, sent_idx, round(p_stat, 6) AS p_stat, round(p_deep, 6) AS p_deep FROM {D.SCORED_ROWS}")
+def sco4_batched_column(spark, d):
+    """Two outside models as column functions of one projection."""
+    rows = D.en_rows(spark, d)
+    return rows.select("doc_id", big("sent_idx").alias("sent_idx"), r6(M.batch_scorer(_Md5FirstScorer)("sentence")).alias("p_stat"),
+                       r6(M.batch_scorer(_Md5Scorer, 256)("sentence")).alias("p_deep"))
+
+
 @query("lab6_recipe_comparison")
 def lab6_recipe_comparison(spark, d):
     """Three training recipes on one fixed test set: character n-grams, with style figures, with confident extra rows."""

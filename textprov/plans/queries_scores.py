@@ -568,6 +568,25 @@ def win7_merged_runs(spark, d):
     return out.select("doc_id", "para_idx", big("grp").alias("grp"), "label", "text")
 
 
+@query("win7_long_paragraphs", sql=f"""
+WITH r AS (SELECT *, {COLOUR_LABEL_SQL} AS label FROM (
+  SELECT source, doc_id, sent_idx, sentence AS text, (doc_id // 16 + sent_idx // 64) AS k FROM {HAN})),
+c AS (SELECT *, CASE WHEN label <> lag(label) OVER w THEN 1 ELSE 0 END AS ch FROM r WINDOW w AS (PARTITION BY source ORDER BY doc_id, sent_idx)),
+g AS (SELECT *, sum(ch) OVER (PARTITION BY source ORDER BY doc_id, sent_idx) AS grp FROM c),
+m AS (SELECT source, grp, label, string_agg(text, '' ORDER BY doc_id, sent_idx) AS text FROM g WHERE label <> 'skip' GROUP BY ALL)
+SELECT source, CAST(grp AS BIGINT) AS grp, label, md5({D.trim_sql('text')}) AS text_hash FROM m WHERE length(text) > 4 AND {D.han_count_sql('text')} > 0
+""")
+def win7_long_paragraphs(spark, d):
+    """All Han sentences of a source as the runs of one paragraph, over many chunks; colours change within and between documents."""
+    runs = D.han_rows(spark, d, "source").select(
+        "source", (F.col("doc_id") * 1_000_000 + F.col("sent_idx")).alias("run_idx"), F.col("sentence").alias("text"),
+        F.expr("doc_id div 16 + sent_idx div 64").alias("k"),
+    )
+    runs = runs.select("*", *[F.expr(e).alias(c) for c, e in COLOUR_EXPR.items()])
+    out = REP.merge_runs(runs, ["source"], chunk=32_000_000)
+    return out.select("source", big("grp").alias("grp"), "label", F.md5("text").alias("text_hash"))
+
+
 # report pages: paragraphs of the pages become annotated spans with a popover
 _LEVEL = "CASE page_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END"
 _INNER_SQL = f"""

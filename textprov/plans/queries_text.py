@@ -11,7 +11,8 @@ from ..functions.scores import tier
 from ..operators.evaluate import marginal_counts
 from ..operators.reports import header_fields
 from ..sources import records as REC
-from ..sources.files import issue_records, not_extracted
+from ..session import scratch_folder
+from ..sources.files import discover_reports, issue_records, not_extracted, write_files
 from ..sources.tables import read_table
 from . import derived as D
 from .registry import big, query, r6
@@ -40,6 +41,28 @@ def src1_json_lines(spark, d):
     return out.groupBy("title", "prob", "label", F.md5("text").alias("text_hash")).agg(F.count("*").alias("n_copies")).drop("title")
 
 
+@query("src1_odd_lines", sql=f"""
+SELECT CASE WHEN doc_id % 5 <> 2 THEN md5(text) END AS text_hash, CASE WHEN doc_id % 5 <> 4 THEN {_PROB} END AS prob,
+  CASE WHEN doc_id % 5 <> 3 THEN {_LABEL} END AS label, CAST(CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_copies
+FROM documents WHERE doc_id % 7 <> 1
+""")
+def src1_odd_lines(spark, d):
+    """Documents as lines: lists with items that are no records, records without text, without a label or with a word for a
+    number, and records with text behind them, which are malformed."""
+    k = F.col("doc_id")
+    prob, label, title = F.expr(_PROB).alias("prob"), F.expr(_LABEL).alias("label"), k.cast("string").alias("title")
+    whole = F.to_json(F.struct("text", prob.cast("string").alias("prob"), label, title))
+    line = (
+        F.when(k % 5 == 0, F.concat(F.lit("[1, "), whole, F.lit(', "x", ['), whole, F.lit("], null, "), whole, F.lit("]")))
+        .when(k % 5 == 2, F.to_json(F.struct(prob, label, title)))
+        .when(k % 5 == 3, F.to_json(F.struct("text", prob, title)))
+        .when(k % 5 == 4, F.to_json(F.struct("text", F.lit("many").alias("prob"), label, title))).otherwise(whole)
+    )
+    lines = D.documents(spark, d).select(F.when(k % 7 == 1, F.concat(line, F.lit(' {"text"'))).otherwise(line).alias("value"))
+    out = REC.parse_json_lines(lines)
+    return out.groupBy("title", "prob", "label", F.md5("text").alias("text_hash")).agg(F.count("*").alias("n_copies")).drop("title")
+
+
 _SAMPLE_LIST = D.zh_corpus_list_sql(D.han_sql("text"))
 
 
@@ -119,6 +142,26 @@ def src4_paired_samples(spark, d):
     return out.select("file", "line", big("sent_idx").alias("sent_idx"), F.md5("text").alias("text_hash"), "is_ai")
 
 
+@query("src4_paired_lines", sql=f"""
+SELECT file, doc_id AS line, sent_idx, md5(t) AS text_hash, is_ai FROM ({_paired_side(False)} UNION ALL {_paired_side(True)})
+WHERE doc_id % 11 <> 3 AND NOT (is_ai AND doc_id % 13 = 5)
+""")
+def src4_paired_lines(spark, d):
+    """Documents as paired JSON lines: the human side is text or a list with a number among its lines; broken lines, lines
+    without a machine side."""
+    k = F.col("doc_id")
+    file = F.expr(_FILE.replace("|| source", "").strip())
+    machine = F.when(k % 13 != 5, D.han_text("text")).alias("machine_text")
+    listed = F.regexp_replace(F.to_json(F.struct(F.split("text", "\n").alias("human_text"), machine)), r'^\{"human_text":\[', r'{"human_text":[7,')
+    line = F.when(k % 3 == 0, listed).otherwise(F.to_json(F.struct(F.col("text").alias("human_text"), machine)))
+    rows = D.documents(spark, d, "source").filter(F.col("text").isNotNull()).select(
+        F.concat(F.lit("/data/m4/"), file, "source", F.lit(".jsonl")).alias("file"), k.alias("line"),
+        F.when(k % 11 == 3, F.concat(line, F.lit("}"))).otherwise(line).alias("value"),
+    )
+    out = REC.paired_samples(REC.paired_records(rows))
+    return out.select("file", "line", big("sent_idx").alias("sent_idx"), F.md5("text").alias("text_hash"), "is_ai")
+
+
 _PATH_SQL = ("CASE page_id % 3 WHEN 0 THEN '/data/AIGC检测报告_' WHEN 1 THEN '/data/.git/PaperPass_' ELSE '/data/' END || page_id || "
              "CASE page_id % 4 WHEN 0 THEN '.HTML' WHEN 1 THEN '.pdf' WHEN 2 THEN '.txt' ELSE '.docx' END")
 
@@ -131,6 +174,24 @@ def src5_report_paths(spark, d):
     return pages.select("page_id", "path", R.is_report_path("path").alias("is_report"))
 
 
+_FILE_SQL = ("CASE page_id % 5 WHEN 0 THEN '.git/' WHEN 1 THEN 'a/node_modules/x/' WHEN 2 THEN 'a/.cache/' WHEN 3 THEN 'a b/' ELSE '' END || "
+             "CASE page_id % 3 WHEN 0 THEN 'notes_' ELSE 'PaperYY+100% ' END || page_id || CASE page_id % 4 WHEN 0 THEN '.txt' ELSE '.html' END")
+
+
+@query("src5_discovered_reports", sql=f"""
+SELECT {_FILE_SQL} AS path, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, md5(html) AS content_hash
+FROM pages WHERE html <> '' AND page_id % 5 > 2 AND page_id % 3 > 0 AND page_id % 4 > 0
+""")
+def src5_discovered_reports(spark, d):
+    """Every page as a file of the shared folder, some in folders that are never searched; the reports among them, read back."""
+    folder = scratch_folder(spark, "reports")
+    pages = read_table(spark, d, "pages", ["page_id", "html"])
+    write_files(pages.select(F.expr(_FILE_SQL).alias("path"), F.col("html").alias("content")), folder)
+    found = discover_reports(spark, folder)
+    name = F.substring_index("path", f"/{folder.rsplit('/', 1)[1]}/", -1)
+    return found.select(name.alias("path"), big("length").alias("n_bytes"), F.md5("content").alias("content_hash"))
+
+
 @query("src6_html_pages", sql="""
 SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n_paragraphs
 FROM pages

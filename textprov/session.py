@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,6 +43,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder that driver and executors share."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/textprov-{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df):
     """Write ``df`` to the shared checkpoint folder and go on from the written copy."""
     spark = df.sparkSession

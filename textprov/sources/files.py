@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +14,36 @@ from ..functions.text import file_key
 
 
 def discover_reports(spark: SparkSession, folder: str, with_content: bool = True) -> DataFrame:
-    """Report files below a folder by extension and name key: ``path, modificationTime, length[, content]``."""
+    """Report files below a folder by extension and name key: ``path, modificationTime, length[, content]``.
+
+    Paths are as they are stored, not URL-encoded; the reader passes empty files over.
+    """
     df = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{html,htm,pdf,docx,HTML,HTM,PDF,DOCX}").load(folder)
     )
     df = df if with_content else df.select("path", "modificationTime", "length")
-    return df.withColumn("path", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).filter(is_report_path("path"))
+    return df.filter(is_report_path("path"))
+
+
+def write_files(df: DataFrame, folder: str, path: str = "path", content: str = "content") -> int:
+    """One file for each row, written by the tasks below a folder that all of them share; the number of files.
+
+    ``path`` is relative and must be unique: a task that runs again writes the same files again. Null contents are empty.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(folder)
+        n = 0
+        for batch in batches:
+            for name, text in zip(batch.column(0), batch.column(1)):
+                at = f"{root.rstrip('/')}/{name.as_py()}"
+                files.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with files.open_output_stream(at) as out:
+                    out.write((text.as_py() or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return df.select(path, content).mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
 def read_html_pages(spark: SparkSession, path: str) -> DataFrame:

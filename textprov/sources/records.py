@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 from pyspark.sql.window import Window
 
 from ..functions import fixed_values as V
 from ..functions import report_fields as R
-from ..functions.text import clean_sentence, en_sentences, has_han, is_latin, strip_space, zh_corpus_sentences
+from ..functions.text import clean_sentence, en_sentences, has_han, is_latin, let, strip_space, zh_corpus_sentences
 from ..operators.scale import top_n_per_group
 
 ANNOTATION = "text string, prob double, label string, title string, source string, generator string, lang string, guard string, deep_prob double"
@@ -17,29 +18,32 @@ ANNOTATION = "text string, prob double, label string, title string, source strin
 def parse_json_lines(lines: DataFrame, record: str = ANNOTATION, value: str = "value", keep: list[str] | None = None) -> DataFrame:
     """Records of JSON lines: a line may be a record, a list of records or ``{"sentences": [...]}``.
 
-    Empty and malformed lines are skipped. ``keep`` names columns of ``lines`` to carry along.
+    Lines are parsed as VARIANT. Empty and malformed lines are skipped, as are list items that are no records; a record with
+    one key twice counts as malformed. A missing field, or one that cannot be cast to its type, is null. ``keep`` names
+    columns of ``lines`` to carry along.
     """
     keep = keep or []
-    v = strip_space(value)
-    rows = lines.filter(v != "").select(*keep, v.alias("_v"))
-    many = F.from_json("_v", f"array<struct<{_fields(record)}>>", {"mode": "PERMISSIVE"})
-    wrapped = F.from_json("_v", f"struct<sentences: array<struct<{_fields(record)}>>>", {"mode": "PERMISSIVE"})
-    one = F.from_json("_v", f"struct<{_fields(record)}, _corrupt_record: string>",
-                      {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = rows.withColumn("_one", F.when(F.col("_v").startswith("{"), one))
-    names = [f.split()[0] for f in record.split(",")]
-    single = F.array(F.struct(*[F.col(f"_one.{n}").alias(n) for n in names]))
-    intact = F.col("_one").isNotNull() & F.col("_one._corrupt_record").isNull()
-    found = (
-        F.when(F.col("_v").startswith("["), many)
-        .when(intact & F.col("_one.text").isNull() & F.col("_v").rlike('"sentences"\\s*:'), wrapped["sentences"])
-        .when(intact, single)
+    rows = lines.select(*keep, parsed_json(value).alias("_v")).filter(F.col("_v").isNotNull())
+    items = F.coalesce(
+        F.try_variant_get("_v", "$", "array<variant>"),
+        F.when(F.try_variant_get("_v", "$.text", "string").isNull(), F.try_variant_get("_v", "$.sentences", "array<variant>")),
+        F.array("_v"),
     )
-    return rows.select(*keep, F.inline(found))
+    rows = rows.select(*keep, F.explode(items).alias("_r")).filter(_is_record("_r"))
+    fields = [f.split() for f in record.split(",")]
+    return rows.select(*keep, *[F.try_variant_get("_r", f"$.{name}", kind).alias(name) for name, kind in fields])
 
 
-def _fields(ddl: str) -> str:
-    return ", ".join(f"{n}: {t}" for n, t in (f.split() for f in ddl.split(",")))
+def parsed_json(value: Column | str) -> Column:
+    """One JSON value as VARIANT; null for anything else, text after the value included."""
+    # the parser stops at the end of the first value, so it reads a list that ends with a mark: no mark, no single value
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), strip_space(value), F.lit(', "end"]'))), "$", "array<variant>")
+    marked = lambda a: (F.size(a) == 2) & (F.try_variant_get(F.get(a, F.lit(1)), "$", "string") == "end")
+    return let(items, lambda a: F.when(marked(a), F.get(a, F.lit(0))))
+
+
+def _is_record(v: Column | str) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def read_json_lines(spark: SparkSession, paths: str | list[str], record: str = ANNOTATION) -> DataFrame:
@@ -113,16 +117,32 @@ def text_or_list(c: Column | str) -> Column:
     )
 
 
+def variant_text(v: Column | str) -> Column:
+    """A VARIANT that is a string or a list, as text: the strings of a list joined by line breaks; nothing is the empty text."""
+    items = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+    listed = F.array_join(F.transform(items, lambda x: F.try_variant_get(x, "$", "string")), "\n")
+    return F.coalesce(listed, F.try_variant_get(v, "$", "string"), F.lit(""))
+
+
+def paired_records(lines: DataFrame, value: str = "value", keep: tuple[str, ...] = ("file", "line")) -> DataFrame:
+    """JSON lines to rows for ``paired_samples``, both text fields as VARIANT; lines that are no record are skipped."""
+    rows = lines.select(*keep, parsed_json(value).alias("_v")).filter(_is_record("_v"))
+    return rows.select(*keep, *[F.try_variant_get("_v", f"$.{c}", "variant").alias(c) for c in ("human_text", "machine_text")])
+
+
 def paired_samples(rows: DataFrame, cap: int | None = None) -> DataFrame:
-    """Rows ``file, line, human_text, machine_text`` (text or JSON list) to sentences of both sides.
+    """Rows ``file, line, human_text, machine_text`` (VARIANT, or text or JSON list) to sentences of both sides.
 
     The file-name prefix gives the text class; other files are not used. ``cap`` keeps the first sentences per file and
     side, in line order; ``None`` keeps all.
     """
+    def side(c: str) -> Column:
+        return variant_text(c) if isinstance(rows.schema[c].dataType, VariantType) else text_or_list(c)
+
     base = F.regexp_replace(R.base_name("file"), r"\.jsonl$", "")
     sides = F.array(
-        F.struct(F.lit(False).alias("is_ai"), text_or_list("human_text").alias("_t")),
-        F.struct(F.lit(True).alias("is_ai"), text_or_list("machine_text").alias("_t")),
+        F.struct(F.lit(False).alias("is_ai"), side("human_text").alias("_t")),
+        F.struct(F.lit(True).alias("is_ai"), side("machine_text").alias("_t")),
     )
     flat = rows.select(base.alias("file"), "line", F.inline(sides)).withColumn("source", R.paired_source_class("file"))
     lang = F.when(has_han("_t"), "zh").when(is_latin("_t"), "en")
@@ -147,12 +167,7 @@ def paired_samples(rows: DataFrame, cap: int | None = None) -> DataFrame:
 def read_paired(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
     """Paired JSON-lines files; both text fields may be strings or lists."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
-    rows = lines.select(
-        "file", F.monotonically_increasing_id().alias("line"),
-        F.get_json_object("value", "$.human_text").alias("human_text"),
-        F.get_json_object("value", "$.machine_text").alias("machine_text"),
-    )
-    return paired_samples(rows, cap)
+    return paired_samples(paired_records(lines.withColumn("line", F.monotonically_increasing_id())), cap)
 
 
 def public_samples(*pools: DataFrame) -> DataFrame:
