@@ -105,3 +105,33 @@ print("done")
     env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH",) and not k.startswith("PYSPARK_GATEWAY")}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert out.returncode == 0 and "done" in out.stdout, out.stderr[-3000:]
+
+
+def test_long_texts_have_the_buckets_of_short_ones(monkeypatch):
+    """A text in pieces gives the buckets of all its n-grams, counted one by one; so do many texts in one slice."""
+    import numpy as np
+
+    from textprov.llm import toxicity as X
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(X, "SLICE_BYTES", 64)
+    for n in (0, 1, 2, 3, 4, 5, 63, 64, 65, 67, 68, 69, 200, 1000):
+        codes = rng.integers(97, 123, n).astype(np.uint32)
+        want = sorted({int(b) for k in X.SIZES for i in range(n - k + 1) for size, bucket in X._ngrams(codes[i:i + k]) if size == k for b in bucket})
+        row, bucket = X._present(codes, np.array([0, n]))
+        assert bucket.tolist() == want and not row.any()
+        twice, again = X._present(np.concatenate((codes, codes)), np.array([0, n, 2 * n]))
+        assert again[twice == 0].tolist() == want and again[twice == 1].tolist() == want
+        marked = np.zeros(X.BUCKETS, bool)
+        marked[want[::2]] = True
+        assert X._present(codes, np.array([0, n]), marked)[1].tolist() == want[::2]
+
+
+def test_a_worker_gives_up_its_memos():
+    from textprov.llm.bpe_memo import released, worker_memo
+
+    first = worker_memo(("test", 1), lambda: [1])
+    assert worker_memo(("test", 1), lambda: [2]) is first
+    released()
+    assert worker_memo(("test", 1), lambda: [2]) == [2]
+    released()

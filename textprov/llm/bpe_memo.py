@@ -7,11 +7,14 @@ so a worker keeps their ids in a table of bounded size.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 
 from .common import Hasher
 
@@ -116,3 +119,16 @@ def worker_memo(key: tuple, make: Callable[[], ChunkMemo]) -> ChunkMemo:
     if key not in held:
         held[key] = make()
     return held[key]
+
+
+def released() -> None:
+    """Give up this worker's memos and hand freed memory back: a worker that goes on to other work would keep both."""
+    held = sys.modules["_worker_memos"].__dict__ if "_worker_memos" in sys.modules else {}
+    for key in [k for k in held if isinstance(k, tuple)]:
+        del held[key]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

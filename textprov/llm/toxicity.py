@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe_memo import released
 from .common import scratch_path, text_lists
 
 BUCKETS = 1 << 20
@@ -31,6 +32,8 @@ MAX_FIT_ROWS = 20_000
 #: Least distance of a log-count ratio from 0, in standard errors.
 LEAST_Z = 4.0
 SLICE_BYTES = 256 << 10
+#: Counts of buckets leave a task in batches of so many rows.
+COUNT_ROWS = 1 << 16
 
 _STEP, _LAST = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,6 +76,8 @@ def _ngrams(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _present(codes: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, bucket) pairs; only buckets marked in ``counts`` if it is given."""
+    if len(offsets) == 2:
+        return _present_in_one(codes, counts)
     found = []
     for size, bucket in _ngrams(codes):
         place = np.flatnonzero(counts[bucket]) if counts is not None else np.arange(len(bucket))
@@ -83,6 +88,16 @@ def _present(codes: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None =
     return pairs // BUCKETS, pairs % BUCKETS
 
 
+def _present_in_one(codes: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a slice of one text, piece by piece: memory does not grow with its n-grams."""
+    seen = np.zeros(BUCKETS, bool)
+    for lo in range(0, len(codes), SLICE_BYTES):
+        for _, bucket in _ngrams(codes[lo:lo + SLICE_BYTES + max(SIZES) - 1]):
+            seen[bucket[:SLICE_BYTES]] = True
+    bucket = np.flatnonzero(seen if counts is None else seen & counts)
+    return np.zeros(len(bucket), np.int64), bucket
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label_id: str, label: str) -> DataFrame:
     known = labels.select(F.col(label_id).alias("id"), F.col(label).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     # one plan at every size: both sides are dealt by id, whatever the table of labels weighs
@@ -93,6 +108,7 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Document counts of every bucket for label 1 and for label 0, and the rows of each; tasks add up before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         totals, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
             label = batch.column("label").to_numpy(zero_copy_only=False)
@@ -102,8 +118,14 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
                 of = label[lo:hi][row]
                 for k in (0, 1):
                     totals[k] += np.bincount(bucket[of == k], minlength=BUCKETS)
+        names = ["bucket", "ones", "zeros"]
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array(n[1:]), pa.array(n[:1])], names=names)
         some = np.flatnonzero(totals.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), *(pa.array(np.append(totals[k][some], n[k])) for k in (1, 0))], names=["bucket", "ones", "zeros"])
+        for at in range(0, len(some), COUNT_ROWS):
+            part = some[at:at + COUNT_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(totals[k][part]) for k in (1, 0))], names=names)
+        del totals, some
+        released()
 
     sums = rows.select("text", "label").mapInArrow(count, "bucket bigint, ones bigint, zeros bigint").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     got = sums.toArrow()  # one row for each bucket at most
@@ -133,6 +155,7 @@ def fit(
     sent, width = spark.sparkContext.broadcast((chosen, scale)), len(chosen)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         buckets, values = sent.value
         marked, at = np.zeros(BUCKETS, bool), np.zeros(BUCKETS, np.int64)
         marked[buckets], at[buckets] = True, np.arange(len(buckets))
@@ -175,6 +198,7 @@ def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     sent = docs.sparkSession.sparkContext.broadcast(model.plain())  # BUCKETS weights at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         buckets, weights, intercept = sent.value
         table = _weight_table(buckets, weights)
         for batch in batches:
@@ -188,6 +212,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float
     sent = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         buckets, weights, intercept = sent.value
         table = _weight_table(buckets, weights)
         for batch in batches:
