@@ -1,6 +1,8 @@
 import json
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +110,23 @@ def test_language_model_by_hand(spark):
     assert {r.doc_id for r in LM.perplexity(model, probe, ["doc_id"]).collect()} == {0, 1, 2}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_language_model_equals_counts_in_python(spark, n):
+    rng = random.Random(n)
+    texts = ["".join(rng.choice("天地人山") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["天" * 500, None, ""]
+    train, probe = [t or "" for t in texts[:20]], list(enumerate(texts))
+    model = LM.train(spark.createDataFrame([(t,) for t in train], "text string"), n=n)
+    grams = lambda t: [t[i:i + n] for i in range(len(t) - n + 1)]
+    c, cn = Counter(g for t in train for g in grams(t)), Counter(g[:-1] for t in train for g in grams(t))
+    vocab, total = len(set("".join(train))), sum(c.values())
+    p = lambda g: (c[g] + 1) / (cn[g[:-1]] + vocab + 1) if cn[g[:-1]] else 1 / (total + vocab + 1)
+    want = {i: math.exp(-sum(math.log(p(g)) for g in grams(t)) / len(grams(t))) for i, t in probe if t and grams(t)}
+    rows = spark.createDataFrame(probe, "doc_id long, text string")
+    assert {r.doc_id: r.perplexity for r in LM.perplexity(model, rows, ["doc_id"]).collect()} == pytest.approx(want)
+    counts = {(r.doc_id, r.n) for r in LM.gram_probabilities(model, rows, ["doc_id"]).filter("doc_id = 40").collect()}
+    assert counts == {(40, 501 - n)}
+
+
 def test_reports(spark):
     text = "封面原文内容第一段话在这里。80%(8)第二段话也在。30%(7)"
     rows = REP.inline_segments(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]).collect()

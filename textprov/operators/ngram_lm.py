@@ -78,25 +78,60 @@ def smoothed(c: Column, cn: Column, total: Column, vocab: Column) -> Column:
     return F.when(cn == 0, F.lit(1.0) / (total + vocab + 1)).otherwise((c + 1) / (cn + vocab + 1))
 
 
+def gram_key(tokens: list[Column]) -> Column:
+    """64-bit key of an n-gram or context, given its tokens; no tokens have key 0."""
+    return F.xxhash64(*tokens) if tokens else F.lit(0).cast("bigint")
+
+
+def _keys(tok: Column, n: int, at: Column) -> Column:
+    return gram_key([F.get(tok, at + k) for k in range(n)])
+
+
+def _starts(tok: Column, n: int) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.size(tok) - n, F.lit(0)))
+
+
+def _keyed_grams(tokens: Column, n: int) -> Column:
+    """``(key, ctx)`` of every n-gram of a token array, null for fewer than n tokens."""
+    pair = lambda tok, i: F.struct(_keys(tok, n, i).alias("key"), _keys(tok, n - 1, i).alias("ctx"))
+    return let(tokens, lambda tok: F.when(F.size(tok) >= n, F.transform(_starts(tok, n), lambda i: pair(tok, i))))
+
+
+def _counted_grams(tokens: Column, n: int) -> Column:
+    """The different n-grams of a token array as ``(key, n)``: the keys sorted, then the lengths of their runs."""
+    def runs(keys: Column) -> Column:
+        new = F.filter(F.sequence(F.lit(0), F.size(keys) - 1), lambda i: (i == 0) | (F.get(keys, i) != F.get(keys, i - 1)))
+        return let(new, lambda first: F.transform(first, lambda at, j: F.struct(
+            F.get(keys, at).alias("key"), (F.coalesce(F.get(first, j + 1), F.size(keys)) - at).cast("bigint").alias("n"))))
+
+    keys = lambda tok: F.sort_array(F.transform(_starts(tok, n), lambda i: _keys(tok, n, i)))
+    return let(tokens, lambda tok: F.when(F.size(tok) >= n, let(keys(tok), runs)))
+
+
 def gram_probabilities(model: NgramModel, texts: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
-    """One row per occurrence of an n-gram: ``ids, gram, prob``.
+    """One row per text row and different n-gram: ``ids, key, n, prob``, n being its occurrences in the text.
 
-    The different n-grams are found first (occurrences collapse inside each task) and looked up in the two model tables;
-    the occurrences then need a single join. A frequent n-gram's rows are split by adaptive skew handling, because the
-    other side holds each n-gram once.
+    N-grams are counted inside the row and travel as 64-bit keys. The different keys are found first (copies collapse
+    inside each task) and looked up in the two model tables; the counts then need a single join. A frequent n-gram's rows
+    are split by adaptive skew handling, because the other side holds each n-gram once. Two n-grams of one key would be
+    taken for one: among 100 million different ones the chance of any such pair is 0.03 %.
     """
-    rows = texts.select(*ids, F.explode(_grams(model.tokens(F.col(text)), model.n)).alias("gram"))
-    known = rows.select("gram").distinct().withColumn("ctx", _context("gram", model.n))
-    known = known.join(model.ngrams, "gram", "left").join(model.contexts, "ctx", "left")
+    n, tokens = model.n, model.tokens(F.col(text))
+    rows = texts.select(*ids, F.inline(_counted_grams(tokens, n)))
+    part = lambda c, k: [F.split_part(F.col(c), F.lit(JOIN), F.lit(i + 1)) for i in range(k)]
+    grams = model.ngrams.select(gram_key(part("gram", n)).alias("key"), "c")
+    contexts = model.contexts.select(gram_key(part("ctx", n - 1)).alias("ctx"), "cn")
+    known = texts.select(F.inline(_keyed_grams(tokens, n))).distinct().join(grams, "key", "left").join(contexts, "ctx", "left")
     total, vocab = model.stats.select("total").scalar(), model.stats.select("vocab").scalar()
-    probs = known.select("gram", smoothed(F.col("c"), F.col("cn"), total, vocab).alias("prob"))
-    return rows.join(probs, "gram")
+    probs = known.select("key", smoothed(F.col("c"), F.col("cn"), total, vocab).alias("prob"))
+    return rows.join(probs, "key").select(*ids, "key", "n", "prob")
 
 
 def perplexity(model: NgramModel, texts: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     """Perplexity per text; texts without an n-gram have no row."""
     p = gram_probabilities(model, texts, ids, text)
-    return p.groupBy(*ids).agg(F.exp(-F.avg(F.ln(F.greatest(F.col("prob"), F.lit(1e-12))))).alias("perplexity"))
+    bits = F.sum(F.col("n") * F.ln(F.greatest(F.col("prob"), F.lit(1e-12))))
+    return p.groupBy(*ids).agg(F.exp(-bits / F.sum("n")).alias("perplexity"))
 
 
 def human_base(scored: DataFrame, prob: str = "prob", limit: float = 0.4) -> DataFrame:

@@ -251,8 +251,8 @@ WITH {_LM_EVEN}, {_LM_SCORED} SELECT doc_id, round(sum(p), 6) AS sum_p, round(mi
 def fea19_probabilities(spark, d):
     model, docs = _half_model(spark, d)
     p = LM.gram_probabilities(model, docs, ["doc_id"])
-    return p.groupBy("doc_id").agg(r6(F.sum("prob")).alias("sum_p"), F.round(F.min("prob"), 9).alias("min_p"),
-                                   F.count_distinct("gram").alias("n_grams"))
+    return p.groupBy("doc_id").agg(r6(F.sum(F.col("n") * F.col("prob"))).alias("sum_p"), F.round(F.min("prob"), 9).alias("min_p"),
+                                   F.count("*").alias("n_grams"))
 
 
 @query("joi9_lm_lookup", sql=f"""
@@ -264,7 +264,7 @@ def joi9_lm_lookup(spark, d):
     model, docs = _half_model(spark, d)
     p = LM.gram_probabilities(model, docs, ["doc_id"])
     floor = model.stats.select(F.lit(1.0) / (F.col("total") + F.col("vocab") + 1)).scalar()
-    return p.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("prob") == floor).alias("unseen"))
+    return p.groupBy("doc_id").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("prob") == floor, F.col("n"))), F.lit(0)).alias("unseen"))
 
 
 @query("fea20_perplexity", sql=f"WITH {_LM_EVEN}, {_LM_SCORED} SELECT doc_id, round(perplexity, 4) AS perplexity FROM pp")
