@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,36 @@ def test_classifier_learns_and_reloads(spark, tmp_path):
     assert [round(r.p_stat, 9) for r in again] == [round(r.p_stat, 9) for r in got]
 
 
+@pytest.mark.parametrize("style", [False, True])
+def test_certificate_equals_gradient_in_numpy(spark, style):
+    rng = random.Random(7)
+    rows = [(i, "".join(rng.choice("天地人山水火" if i % 3 else "天地风云雷") for _ in range(12)), int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    x = M.TextVectoriser(max_features=60, with_style=style).fit(df).transform(df).cache()
+    full = M.fit_logistic(x, max_iter=3000)
+    data = x.select("features", "label").collect()
+    a, y = np.array([r.features.toArray() for r in data]), np.array([r.label for r in data])
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    for model, done in ((full, True), (M.fit_logistic(x, max_iter=2), False)):
+        r = w * (1 / (1 + np.exp(-(a @ model.coefficients.toArray() + model.intercept))) - y)
+        want = max(abs(r.sum()), np.abs(a.T @ r + model.coefficients.toArray()).max()) / len(y)
+        got = M.fit_certificate(x, model).first()
+        assert (got.n, got.n_pos) == (90, 30) and got.gap == pytest.approx(want, abs=1e-9) and (got.gap < 1e-4) == done
+
+
+def test_sigmoid_certificate(spark):
+    rng = random.Random(8)
+    rows = [(rng.gauss(2 * (i % 2) - 1, 1.5), i % 2) for i in range(120)]
+    held = spark.createDataFrame(rows, "m double, label int")
+    slope, intercept = M.fit_sigmoid(held, "m")
+    assert M.sigmoid_certificate(held, "m", slope, intercept).first().gap < 1e-4 < M.sigmoid_certificate(held, "m", slope + .1, intercept).first().gap
+    n = p = 60
+    y, m = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    r = 1 / (1 + np.exp(-(m * .5 + .25))) - np.where(y == 1, (p + 1) / (p + 2), 1 / (n + 2))
+    want = max(abs(r.mean()), abs((r * m).mean()) / np.abs(m).mean())
+    assert M.sigmoid_certificate(held, "m", .5, .25).first().gap == pytest.approx(want)
+
+
 def test_ngrams(spark):
     df = spark.createDataFrame([("aB  c",)], "t string")
     assert df.select(M.char_ngrams("t", 2, 3)).first()[0] == ["ab", "b ", " c", "ab ", "b c"]

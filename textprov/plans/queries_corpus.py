@@ -956,6 +956,18 @@ def sco3_batch_scores(spark, d):
     return model.score(rows).select("id", "label", "split", F.round("p_stat", 4).alias("p_stat"))
 
 
+_FOLDS_SQL = f"""(SELECT CAST(('0x' || substr({D.order_sql(D.ROW_ID, 42)}, 1, 8)) AS BIGINT) % 3 AS fold, regexp_matches(sentence, '\\b(of|de)\\b') AS y
+  FROM {D.EN_ROWS})"""
+
+
+@query("sco2_certified_sigmoid", sql=f"SELECT fold, count(*) AS n, count(*) FILTER (y) AS n_pos, true AS at_optimum FROM {_FOLDS_SQL} GROUP BY fold")
+def sco2_certified_sigmoid(spark, d):
+    """Training on all sentences, then the gradient of each fold's calibration loss at its sigmoid: none of its entries exceeds the tolerance."""
+    rows = _labelled(spark, d)
+    gaps = M.certificates(M.fit_classifier(rows, "id"), rows, "id", steps=["sigmoid"])
+    return gaps.select("fold", "n", "n_pos", (F.col("gap") <= 1e-4).alias("at_optimum"))
+
+
 class _Md5Scorer:
     """Stand-in for an outside model: the second stand-in score."""
 
