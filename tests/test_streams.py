@@ -1,8 +1,10 @@
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
+from textprov.sources.tables import stream_table
 from textprov.streaming import ingest as ST
 from textprov.streaming import retrain as RT
 from textprov.streaming.known import KnownTexts
@@ -101,3 +103,19 @@ def test_arrivals_within_the_watermark(spark, tmp_path):
     assert run() == [("a", 1000), ("b", 1050), ("c", 2000)]
     add(tmp_path / "in", "c", [{"text": "a", "at": 2010}, {"text": "c", "at": 2050}])
     assert run() == [("a", 1000), ("a", 2010), ("b", 1050), ("c", 2000)]
+
+
+@pytest.mark.parametrize("folder", [True, False])
+def test_stream_of_a_table_of_one_or_many_files(spark, tmp_path, folder):
+    rows = spark.range(30)
+    rows.repartition(3).write.parquet(str(tmp_path / "many"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    target = tmp_path / "d" / "pages.parquet"
+    target.parent.mkdir()
+    source = tmp_path / "many" if folder else next((tmp_path / "one").glob("part-*"))
+    (shutil.copytree if folder else shutil.copy)(source, target)
+    (shutil.copytree if folder else shutil.copy)(source, tmp_path / "d" / "pages.parquet2")
+    out = str(tmp_path / "out")
+    q = stream_table(spark, str(tmp_path / "d"), "pages").writeStream.format("parquet").option("path", out)
+    q.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(30))
