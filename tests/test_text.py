@@ -129,3 +129,19 @@ def test_file_names(spark):
     assert [r[0] for r in values(spark, names, R.clean_file_title("t"))] == ["x", "免费_PDF打印版", "题目"]
     paths = ["/a/PaperYY.PDF", "/a/.git/PaperYY.pdf", "/a/PaperYY.txt", "/a/b/AIGC报告.html"]
     assert [r[0] for r in values(spark, paths, R.is_report_path("t"))] == [True, False, False, True]
+
+
+def test_upper_case_by_character(spark):
+    texts = ["Straße", "ﬁnal ŉ ΐ", "ᾳᾼ", "grün ǆ", "ß", "", "ßa\nƛ", "a\U00010d70b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    got = {r.i: r.u for r in df.select("i", T.simple_upper("t").alias("u")).collect()}
+    want = ["STRAẞE", "ﬁNAL ŉ ΐ", "ᾼᾼ", "GRÜN Ǆ", "ẞ", "", "ẞA\nƛ", "A\U00010d70B", None]
+    assert [got[i] for i in range(len(want))] == want
+
+
+def test_files_of_one_key_are_not_taken_for_each_other(spark):
+    from textprov.sources.files import not_extracted
+    files = spark.createDataFrame([("a/1", 23), ("a/12", 3), ("b", 1), (None, 1)], "path string, size long")
+    done = files.filter("size = 23 OR path IS NULL").select("path", T.file_key("path", "size").alias("path_key"))
+    assert sorted(r.path for r in not_extracted(files, done).collect()) == ["a/12", "b"]
+    assert sorted(r.path for r in not_extracted(files, done.select("path_key")).filter("path IS NOT NULL").collect()) == ["b"]

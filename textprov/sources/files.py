@@ -52,9 +52,17 @@ def read_html_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def not_extracted(files: DataFrame, cache: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
-    """Files whose key is not in the cache ``(path_key, text)``: only these need extraction."""
+    """Files whose key is not in the cache ``(path_key, text)``: only these need extraction.
+
+    The key takes path and size without a mark between them, so ``a/1`` of 23 bytes has the key of ``a/12`` of 3. All columns
+    that files and cache share, such as the path or a number of the file, must be equal as well, nulls to nulls.
+    """
     keyed = files.withColumn("path_key", file_key(path, size))
-    return keyed.join(cache.select("path_key").distinct(), "path_key", "left_anti")
+    cols = [c for c in keyed.columns if c in cache.columns]
+    same = F.lit(True)
+    for c in cols:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return keyed.alias("a").join(cache.select(*cols).distinct().alias("b"), same, "left_anti")
 
 
 def write_samples(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet", by: tuple[str, ...] = ("lang", "is_ai")) -> None:
