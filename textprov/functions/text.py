@@ -297,6 +297,19 @@ def reference_ok(src: Column | str, tgt: Column | str) -> Column:
     )
 
 
+# characters whose full upper case is several characters, and letters that have an upper case only since Unicode 16
+_UPPER_ALONE = "".join(chr(i) for i in range(0x10000) if len(chr(i).upper()) > 1) + "\u019b\u0264\u1c8a\ua7cd\ua7db" + "".join(map(chr, range(0x10D70, 0x10D86)))
+_UPPER_THERE = "".join("\u1e9e" if c == "ß" else c.title() if len(c.title()) == 1 and len(c.upper()) > 1 else c for c in _UPPER_ALONE)
+
+
+def simple_upper(c: Column | str) -> Column:
+    """Upper case by character, so that no text changes its length: ß becomes ẞ, where Spark's ``upper`` gives SS."""
+    c = _col(c)
+    parts = F.regexp_extract_all(c, F.lit(f"(?s)[{_UPPER_ALONE}]++|[^{_UPPER_ALONE}]++"), F.lit(0))
+    one = lambda p: F.when(p.rlike(f"^[{_UPPER_ALONE}]"), F.translate(p, _UPPER_ALONE, _UPPER_THERE)).otherwise(F.upper(p))
+    return F.when(c.isNotNull(), F.array_join(F.transform(parts, one), ""))
+
+
 def text_hash(c: Column | str) -> Column:
     return F.md5(_col(c))
 
