@@ -231,3 +231,27 @@ def test_stream_scoring_takes_newest_model(spark, tmp_path):
     s = spark.readStream.schema("doc_id long, text string").parquet(str(src))
     ST.score_arrivals(s, str(tmp_path / "v"), lambda p: seen.append(p) or stand_in_scorer, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert seen == ["b"] and spark.read.parquet(str(tmp_path / "out")).first().model_version == 2
+
+
+@pytest.mark.parametrize("analyser", ["char", "word"])
+def test_vectors_equal_the_definition(spark, analyser):
+    """Also for letters outside the basic plane, and for a text of more characters than a key of 64 bits has digits for."""
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 20000))) + "".join(map(chr, range(0x20000, 0x20000 + 42000)))
+    texts = ["Ab  ab\nabc\U0001f600\U0001f601", "ab abc\U0001f600\U0001f601 x", "", None, " ", "a", "abab abab\0\0 abab\0\0", many, many[:500] + " ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    low, high = (2, 4) if analyser == "char" else (2, 5)
+    def grams(t):
+        t = (t or "").lower()
+        parts = [re.sub(r"\s\s+", " ", t)] if analyser == "char" else [f" {w} " for w in re.split(r"\s+", t) if w]
+        return [p[i:i + n] for p in parts for n in range(low, high + 1) for i in range(len(p) - n + 1)]
+    counts = [Counter(grams(t)) for t in texts]
+    tf, seen = sum(counts, Counter()), Counter(g for c in counts for g in c)
+    vocabulary = sorted((g for g in tf if seen[g] > 1), key=lambda g: (-tf[g], g.encode()))[:1000]
+    v = M.TextVectoriser(analyser, 1000).fit(df)
+    assert v.vocabulary == vocabulary
+    got = {r.id: r.features for r in v.transform(df).collect()}
+    for i, c in enumerate(counts):
+        want = {k: (1 + np.log(c[g])) * (1 + np.log((len(texts) + 1) / (seen[g] + 1))) for k, g in enumerate(vocabulary) if g in c}
+        norm = sum(x * x for x in want.values()) ** .5
+        assert dict(zip(got[i].indices.tolist(), got[i].values)) == pytest.approx({k: x / norm for k, x in want.items()})
+        assert got[i].size == len(vocabulary) and sorted(got[i].indices) == got[i].indices.tolist()
