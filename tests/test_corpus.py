@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import random
@@ -255,3 +256,21 @@ def test_vectors_equal_the_definition(spark, analyser):
         norm = sum(x * x for x in want.values()) ** .5
         assert dict(zip(got[i].indices.tolist(), got[i].values)) == pytest.approx({k: x / norm for k, x in want.items()})
         assert got[i].size == len(vocabulary) and sorted(got[i].indices) == got[i].indices.tolist()
+
+
+def test_holdout_reads_its_rows_three_times(spark):
+    """Twice for the cuts and once for the result, without a shuffle of the rows; a row is there once, also with no class."""
+    seen = spark.sparkContext.accumulator(0)
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 10 != 9, F.col("id") % 3).alias("label"))
+    out = C.stratified_holdout(rows.mapInArrow(passed, "id long, label long"), "label", "id", 0.2, seed=3)
+    got = out.collect()
+    assert seen.value <= 3000 and len(got) == 1000
+    for c in (0, 1, 2):
+        own = sorted((hashlib.md5(f"{r.id}|3".encode()).hexdigest(), r.is_test) for r in got if r.label == c)
+        k = round(len(own) * .2)
+        assert [t for _, t in own] == [True] * k + [False] * (len(own) - k)
+    assert not any(r.is_test for r in got if r.label is None)

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed_values as V
 from ..functions.scores import prob_is_ai
 from ..functions.text import han_count
-from .scale import first_k, order_key, top_n_per_group, unit_hash
+from .scale import first_k, hash_cuts, ordered_hash, order_key, top_n_per_group, unit_hash
 
 # --- sets --------------------------------------------------------------------------------------------------------
 
@@ -112,10 +112,12 @@ def split_by_hash(df: DataFrame, ids, share: float, seed: int = 0) -> DataFrame:
 
 def stratified_holdout(df: DataFrame, label: str, ids, share: float = 0.2, seed: int = 0) -> DataFrame:
     """Adds ``is_test``: exactly ``round(n * share)`` rows of every class, in hash order."""
-    k = df.groupBy(label).agg(F.round(F.count("*") * share).cast("bigint").alias("k"))
-    keys = [ids] if isinstance(ids, str) else list(ids)
-    test = first_k(df.select(label, *keys), keys, k, seed, group=[label]).select(*keys, F.lit(True).alias("is_test"))
-    return df.join(test, keys, "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))
+    keyed = df.withColumn("_h", ordered_hash(ids, seed))
+    cuts = hash_cuts(keyed, F.round(F.col("_all") * share).cast("bigint"), label)
+    test = F.lit(False)
+    for r in cuts.filter(F.col(label).isNotNull()).collect():  # one row a class
+        test = F.when(F.col(label) == F.lit(r[label]), F.col("_h") <= r["_cut"]).otherwise(test)
+    return keyed.withColumn("is_test", test).drop("_h")
 
 
 def holdout_groups(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -> DataFrame:

@@ -74,21 +74,25 @@ def sliding_rows(df: DataFrame, group, position: str, before: int, after: int, c
     return rows, frame, F.col("_chunk") == own
 
 
-def first_k(df: DataFrame, ids, k: DataFrame | int, seed: int = 0, group=(), priority: Column | None = None) -> DataFrame:
-    """Exactly the first k rows in (priority, hash) order, per group if one is given.
+def ordered_hash(ids, seed: int, priority: Column | None = None) -> Column:
+    prio = F.lit(0) if priority is None else priority.cast("int")
+    return F.concat(F.lpad(prio.cast("string"), 4, "0"), order_key(ids, seed))
 
-    ``k`` is a number or a DataFrame with column ``k`` (and the group columns). ``ids`` must identify a row. Rows are
-    counted per hash bucket, the bucket holding the k-th row is ranked, and its hash becomes the cut for all rows;
-    so only one bucket is ever sorted.
+
+def hash_cuts(keyed: DataFrame, k: DataFrame | int | Column, group=()) -> DataFrame:
+    """``_cut``, per group if one is given: the hash ``_h`` of the group's k-th row, above all hashes where there are fewer.
+
+    ``k`` may also be a column over ``_all``, the group's number of rows. The rows are read twice, for the counts of the
+    buckets and for the one bucket that holds the k-th row; the results are written.
     """
     group = _cols(group)
-    prio = F.lit(0) if priority is None else priority.cast("int")
-    keyed = df.withColumn("_h", F.concat(F.lpad(prio.cast("string"), 4, "0"), order_key(ids, seed)))
     slim = keyed.select(*group, "_h").withColumn("_b", F.substring("_h", 1, 8))
-    counts = slim.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    counts = cut_lineage(slim.groupBy(*group, "_b").agg(F.count("*").alias("_n")))
     run = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(run), F.lit(0)))
-    if not isinstance(k, DataFrame):
+    if isinstance(k, Column):
+        counts = counts.withColumn("_all", F.sum("_n").over(Window.partitionBy(*group))).withColumn("k", k).drop("_all")
+    elif not isinstance(k, DataFrame):
         counts = counts.withColumn("k", F.lit(int(k)))
     elif group:
         counts = counts.join(k, group)
@@ -109,7 +113,19 @@ def first_k(df: DataFrame, ids, k: DataFrame | int, seed: int = 0, group=(), pri
         .filter(F.col("_all") < F.col("k"))
         .select(*group, F.lit("~").alias("_cut"))
     )
-    cuts = cut.unionByName(whole)
+    return cut_lineage(cut.unionByName(whole))
+
+
+def first_k(df: DataFrame, ids, k: DataFrame | int, seed: int = 0, group=(), priority: Column | None = None) -> DataFrame:
+    """Exactly the first k rows in (priority, hash) order, per group if one is given.
+
+    ``k`` is a number or a DataFrame with column ``k`` (and the group columns). ``ids`` must identify a row. Rows are
+    counted per hash bucket, the bucket holding the k-th row is ranked, and its hash becomes the cut for all rows;
+    so only one bucket is ever sorted.
+    """
+    group = _cols(group)
+    keyed = df.withColumn("_h", ordered_hash(ids, seed, priority))
+    cuts = hash_cuts(keyed, k, group)
     if group:
         return keyed.join(cuts, group).filter(F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
     return keyed.filter(F.col("_h") <= cuts.scalar()).drop("_h")
