@@ -274,3 +274,12 @@ def test_holdout_reads_its_rows_three_times(spark):
         k = round(len(own) * .2)
         assert [t for _, t in own] == [True] * k + [False] * (len(own) - k)
     assert not any(r.is_test for r in got if r.label is None)
+
+
+def test_documents_are_scored_in_small_parts(spark):
+    """The score is the number of texts that a scorer gets at once: not all sentences of a large Arrow batch."""
+    df = spark.range(3000).coalesce(1).select("id", F.when(F.col("id") % 7 == 0, "en").otherwise("zh").alias("text_lang"),
+                                              F.when(F.col("id") % 11 > 0, F.array(F.lit("甲"), F.lit("乙"))).alias("sents"))
+    out = M.score_documents(df, lambda: (lambda ts: [float(len(ts))] * len(ts)), "p", skip_english=True, batch=10**9, max_len=None).collect()
+    assert len(out) == 3000 and max(max(r.p) for r in out if r.p) <= 2 * M.DOCUMENTS_TOGETHER
+    assert all((r.p is None) == (r.id % 7 == 0 or r.id % 11 == 0) for r in out)
