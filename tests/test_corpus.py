@@ -129,6 +129,25 @@ def test_language_model_equals_counts_in_python(spark, n):
     assert counts == {(40, 501 - n)}
 
 
+@pytest.mark.parametrize("size", [1, 100, 1 << 20])
+def test_probabilities_by_chunks(spark, monkeypatch, size):
+    """A chunk asks for an n-gram once, whatever its texts; null ids, short, long and empty texts keep their rows."""
+    monkeypatch.setattr(LM, "CHUNK_BYTES", size)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("天地人山a 1.") for _ in range(rng.choice([0, 2, 5, 40]))) for _ in range(30)] + ["天地人" * 300, None]
+    rows = spark.createDataFrame([(None if i % 9 == 8 else i, str(i), t) for i, t in enumerate(texts)], "part long, name string, text string").coalesce(1)
+    model = LM.train(rows.filter("part % 2 = 0"))
+    words = lambda t: re.findall(r"[\u4e00-\u9fff]|[A-Za-z0-9]+|.", (t or "").replace(" ", ""))
+    grams = {str(i): [tuple(w[k:k + 3]) for k in range(len(w) - 2)] for i, w in enumerate(map(words, texts))}
+    trained = [g for i, gs in grams.items() if int(i) % 9 != 8 and int(i) % 2 == 0 for g in gs]
+    c, cn, vocab = Counter(trained), Counter(g[:2] for g in trained), len({w for i in range(0, len(texts), 2) if i % 9 != 8 for w in words(texts[i])})
+    p = lambda g: (c[g] + 1) / (cn[g[:2]] + vocab + 1) if cn[g[:2]] else 1 / (len(trained) + vocab + 1)
+    found = LM.gram_probabilities(model, rows, ["part", "name"])
+    got = sorted((r.name, r.n, round(r.prob, 9)) for r in found.collect())
+    assert got == sorted((i, n, round(p(g), 9)) for i, gs in grams.items() for g, n in Counter(gs).items())
+    assert found.filter("part is null").select("name").distinct().count() == sum(bool(grams[str(i)]) for i in range(8, len(texts), 9))
+
+
 def test_reports(spark):
     text = "封面原文内容第一段话在这里。80%(8)第二段话也在。30%(7)"
     rows = REP.inline_segments(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]).collect()

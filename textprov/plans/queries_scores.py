@@ -13,6 +13,7 @@ from ..operators import features as OFE
 from ..operators import ngram_lm as LM
 from ..operators import reports as REP
 from ..operators import windows as WIN
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from . import derived as D
 from . import detect as DET
@@ -296,7 +297,7 @@ def fea22_perplexity_score(spark, d):
     """Documents stand for sentences, sources for documents; the base is the mean perplexity."""
     model, docs = _half_model(spark, d)
     source = read_table(spark, d, "documents", ["doc_id", "source"])
-    pp = LM.perplexity(model, docs, ["doc_id"])
+    pp = cut_lineage(LM.perplexity(model, docs, ["doc_id"]))  # read twice
     base = pp.agg(F.avg("perplexity").alias("base"))
     out = LM.perplexity_score(pp.join(source, "doc_id"), base, "source")
     return out.select("source", r6("perplexity_score").alias("perplexity_score"))
@@ -378,7 +379,7 @@ def _final_mix(spark, d):
     model, docs = _half_model(spark, d)
     n = F.length("sentence")
     overall = D.scored_rows(spark, d).groupBy("doc_id").agg((F.sum(F.col("p") * n) / F.greatest(F.sum(n), F.lit(1))).alias("overall"))
-    pp = LM.perplexity(model, docs, ["doc_id"])
+    pp = cut_lineage(LM.perplexity(model, docs, ["doc_id"]))  # read twice
     ps = LM.perplexity_score(pp, pp.agg(F.avg("perplexity").alias("base")))
     return overall.join(ps, "doc_id").withColumn("final", SC.final_mix("overall", "perplexity_score"))
 
