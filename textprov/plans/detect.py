@@ -110,6 +110,15 @@ def detect(docs: DataFrame, ids: list[str] | None = None, text: str = "text",
     return report(fuse_documents(scorer(split_documents(slim, text)), **options), ids, text, top_k)
 
 
+def top_diagnostics(reports: DataFrame, ids: list[str]) -> DataFrame:
+    """One row for each entry of ``top_ai_sentences``.
+
+    The outer form with a filter behind it: for the inner one the optimiser asks first whether the array has entries, and
+    that question, carried down to the scan, holds the whole detection dozens of times.
+    """
+    return reports.select(*ids, F.inline_outer("top_ai_sentences")).filter(F.col("sent_idx").isNotNull())
+
+
 def detect_batch(paths: DataFrame | None = None, texts: DataFrame | None = None, **options) -> DataFrame:
     """Mixed batch: ``paths(path, text)`` where a missing text is a read error, and ``texts(text)``.
 

@@ -690,7 +690,7 @@ SELECT doc_id, sent_idx, round(f, 4) AS ai_prob, round(p_stat, 4) AS stat_prob,
 FROM nb JOIN best USING (doc_id) WHERE k <= 20 AND f >= 0.5
 """)
 def agg1_top_diagnostics(spark, d):
-    out = DET.detect(D.documents(spark, d)).select("doc_id", F.inline("top_ai_sentences"))
+    out = DET.top_diagnostics(DET.detect(D.documents(spark, d)), ["doc_id"])
     return _ids(out, "ai_prob", "stat_prob", "neighborhood_mean", "isolated", "in_ai_island")
 
 
