@@ -33,6 +33,12 @@ def chars_outside(c: Column | str, run: str) -> Column:
     return F.length(F.regexp_replace(_col(c), run, "")).cast("bigint")
 
 
+def chars_of(c: Column | str, chars: str) -> Column:
+    """Number of characters that are among ``chars``; a look-up each, where a regular expression asks for one after the other."""
+    c = _col(c)
+    return (F.length(c) - F.length(F.translate(c, chars, ""))).cast("bigint")
+
+
 def strip_space(c: Column | str) -> Column:
     """Remove white space (the full Unicode set) at both ends."""
     return F.btrim(_col(c), F.lit(V.SPACE_CHARS))
@@ -40,12 +46,12 @@ def strip_space(c: Column | str) -> Column:
 
 def collapse_space(c: Column | str) -> Column:
     """Every run of white space becomes one space; single spaces are not touched."""
-    return F.regexp_replace(_col(c), f"{V.SPACE}{{2,}}|(?! ){V.SPACE}", " ")
+    return F.regexp_replace(_col(c), f"{V.FAST_SPACE}{{2,}}|(?! ){V.FAST_SPACE}", " ")
 
 
 def drop_space(c: Column | str) -> Column:
     """Normalised key of a text: all white space removed."""
-    return F.regexp_replace(_col(c), V.SPACE + "+", "")
+    return F.regexp_replace(_col(c), V.FAST_SPACE + "+", "")
 
 
 def han_count(c: Column | str) -> Column:
@@ -143,15 +149,16 @@ SPLITTERS = {
 
 def clean_sentence(c: Column | str, lang: Column | str | None = None) -> Column:
     """Collapse white space, strip list marks, then null unless long enough for its language (6 Han / 8 words)."""
-    t = F.trim(collapse_space(_col(c)))
-    t = F.regexp_replace(t, r"^[·—•*#]+|[·—•*#]+\z", "")
-    words = F.size(F.filter(F.split(t, " "), lambda w: w != ""))
-    zh_ok = han_count(t) >= 6
-    en_ok = is_latin(t) & (words >= 8)
-    if lang is None:
-        return F.when(has_han(t), F.when(zh_ok, t)).when(en_ok, t)
     lang = F.lit(lang) if isinstance(lang, str) else lang
-    return F.when((lang == "zh") & zh_ok, t).when((lang == "en") & en_ok, t)
+
+    def kept(t: Column) -> Column:
+        zh_ok = han_count(t) >= 6
+        en_ok = is_latin(t) & (F.size(F.filter(F.split(t, " "), lambda w: w != "")) >= 8)
+        if lang is None:
+            return F.when(has_han(t), F.when(zh_ok, t)).when(en_ok, t)
+        return F.when((lang == "zh") & zh_ok, t).when((lang == "en") & en_ok, t)
+
+    return let(F.regexp_replace(F.trim(collapse_space(_col(c))), r"^[·—•*#]+|[·—•*#]+\z", ""), kept)
 
 
 # --- body extraction ---------------------------------------------------------------------------------------------

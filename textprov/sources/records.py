@@ -59,8 +59,9 @@ def read_json_lines(spark: SparkSession, paths: str | list[str], record: str = A
 
 
 def _explode_clean(rows: DataFrame, splitter, lang: Column | str | None, keep: list[str]) -> DataFrame:
-    out = rows.select(*keep, F.posexplode(splitter).alias("sent_idx", "_s"))
-    return out.withColumn("text", clean_sentence("_s", lang)).filter(F.col("text").isNotNull()).drop("_s")
+    """Sentences are cleaned in their array: a filter on a column of its own would make the optimiser clean each twice."""
+    cleaned = F.transform(splitter, lambda s: clean_sentence(s, lang))
+    return rows.select(*keep, F.posexplode(cleaned).alias("sent_idx", "text")).filter(F.col("text").isNotNull())
 
 
 def generator_samples(rows: DataFrame) -> DataFrame:
