@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import _col, chars_outside, count_of, has_han, is_chinese, let, occurrences, strip_space
+from .text import _col, chars_of, count_of, has_han, is_chinese, let, occurrences, strip_space
 
 HIT_TYPE = "array<struct<pattern:string,count:bigint,weight:double,desc:string>>"
 
@@ -15,24 +18,43 @@ def _any_of(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def needed_literals(pattern: str) -> list[str] | None:
+    """Literals of which every match holds one: the longest of each alternative; None if the pattern is not that simple."""
+    plain = re.sub(r"\[[^\]]*\](?:\{\d+,\d+\})?", "\0", pattern)
+    if re.search(r"[\\()\[\]{}?*+.^$]", plain):
+        return None
+    literals = [max(alternative.split("\0"), key=len) for alternative in plain.split("|")]
+    return literals if all(literals) else None
+
+
+def may_match(c: Column, patterns: list[str]) -> Column:
+    """False only where no pattern matches. Literals are searched as bytes, which an alternation of them is far from."""
+    known = {p: needed_literals(p) for p in patterns}
+    tests = [c.contains(w) for w in dict.fromkeys(w for words in known.values() for w in words or [])]
+    rest = [p for p, words in known.items() if words is None]
+    if rest:
+        tests.append(c.rlike("(?U)" + _any_of(rest)))
+    return reduce(Column.__or__, tests)
+
+
 def phrase_hits(c: Column | str, patterns) -> Column:
     """The patterns that occur, with count, weight and description.
 
-    One alternation over all patterns decides first, so texts without any hit are scanned once.
+    ``may_match`` decides first, so most texts without a hit are not matched with every pattern.
     """
     c = _col(c)
     rows = F.array(
         *[
             F.struct(
                 F.lit(p).alias("pattern"),
-                count_of(c, "(?U)" + p).alias("count"),
+                F.when(may_match(c, [p]), count_of(c, "(?U)" + p)).otherwise(F.lit(0).cast("bigint")).alias("count"),
                 F.lit(float(w)).alias("weight"),
                 F.lit(d).alias("desc"),
             )
             for p, w, d in patterns
         ]
     )
-    some = c.rlike("(?U)" + _any_of([p for p, _, _ in patterns]))
+    some = may_match(c, [p for p, _, _ in patterns])
     if patterns is V.TEMPLATES_ZH:
         some = has_han(c) & some
     return F.when(some, F.filter(rows, lambda h: h["count"] > 0)).otherwise(F.array().cast(HIT_TYPE))
@@ -43,17 +65,17 @@ def hit_score(hits: Column | str) -> Column:
     return F.aggregate(_col(hits), F.lit(0.0), lambda acc, h: acc + h["count"] * h["weight"])
 
 
-def template_hits(c: Column | str) -> Column:
-    """Template hits with the pattern list of the text's language."""
+def template_hits(c: Column | str, chinese: Column | None = None) -> Column:
+    """Template hits with the pattern list of the text's language; ``chinese`` is given where it is known."""
     c = _col(c)
-    return F.when(is_chinese(c), phrase_hits(c, V.TEMPLATES_ZH)).otherwise(phrase_hits(c, V.TEMPLATES_EN))
+    return F.when(is_chinese(c) if chinese is None else chinese, phrase_hits(c, V.TEMPLATES_ZH)).otherwise(phrase_hits(c, V.TEMPLATES_EN))
 
 
 def template_names(c: Column | str) -> Column:
     """Descriptions of the Chinese templates found in a sentence, in list order."""
     c = _col(c)
-    found = F.array(*[F.when(c.rlike(p), F.lit(d)) for p, _, d in V.TEMPLATES_ZH])
-    some = has_han(c) & c.rlike(_any_of([p for p, _, _ in V.TEMPLATES_ZH]))
+    found = F.array(*[F.when(may_match(c, [p]) & c.rlike(p), F.lit(d)) for p, _, d in V.TEMPLATES_ZH])
+    some = has_han(c) & may_match(c, [p for p, _, _ in V.TEMPLATES_ZH])
     return F.when(some, F.filter(found, lambda d: d.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
@@ -61,24 +83,25 @@ def _sum_occurrences(c: Column, words: list[str]) -> Column:
     total = F.lit(0).cast("bigint")
     for w in words:
         total = total + occurrences(c, w)
-    return F.when(c.rlike(_any_of(words)), total).otherwise(F.lit(0).cast("bigint"))
+    return F.when(may_match(c, words), total).otherwise(F.lit(0).cast("bigint"))
 
 
-def connective_count(c: Column | str) -> Column:
+def connective_count(c: Column | str, chinese: Column | None = None) -> Column:
     c = _col(c)
+    chinese = is_chinese(c) if chinese is None else chinese
     english = count_of(c, r"(?U)\b(?:" + "|".join(V.CONNECTIVES_EN) + r")\b")
-    return F.when(is_chinese(c), _sum_occurrences(c, V.CONNECTIVES_ZH)).otherwise(english)
+    return F.when(chinese, _sum_occurrences(c, V.CONNECTIVES_ZH)).otherwise(english)
 
 
-def connective_density(c: Column | str) -> Column:
+def connective_density(c: Column | str, chinese: Column | None = None) -> Column:
     c = _col(c)
-    return connective_count(c) / F.greatest(F.length(c), F.lit(1))
+    return connective_count(c, chinese) / F.greatest(F.length(c), F.lit(1))
 
 
-def frequent_english_words(c: Column | str) -> Column:
+def frequent_english_words(c: Column | str, chinese: Column | None = None) -> Column:
     """Occurrences of the frequent English words in the lower-cased text; zero for Chinese text."""
     c = _col(c)
-    return F.when(is_chinese(c), F.lit(0).cast("bigint")).otherwise(_sum_occurrences(F.lower(c), V.FREQUENT_WORDS_EN))
+    return F.when(is_chinese(c) if chinese is None else chinese, F.lit(0).cast("bigint")).otherwise(_sum_occurrences(F.lower(c), V.FREQUENT_WORDS_EN))
 
 
 def is_long(c: Column | str) -> Column:
@@ -93,16 +116,19 @@ def sentence_features(c: Column | str) -> Column:
     """All features of one sentence as a struct."""
     c = _col(c)
     return let(
-        template_hits(c),
-        lambda hits: F.struct(
-            F.length(c).cast("bigint").alias("len"),
-            is_chinese(c).alias("is_chinese"),
-            hit_score(hits).alias("template_score"),
-            hits.alias("template_hits"),
-            connective_density(c).alias("connective_density"),
-            frequent_english_words(c).alias("ai_en_words"),
-            is_long(c).alias("is_long"),
-            is_short(c).alias("is_short"),
+        is_chinese(c),
+        lambda chinese: let(
+            template_hits(c, chinese),
+            lambda hits: F.struct(
+                F.length(c).cast("bigint").alias("len"),
+                chinese.alias("is_chinese"),
+                hit_score(hits).alias("template_score"),
+                hits.alias("template_hits"),
+                connective_density(c, chinese).alias("connective_density"),
+                frequent_english_words(c, chinese).alias("ai_en_words"),
+                is_long(c).alias("is_long"),
+                is_short(c).alias("is_short"),
+            ),
         ),
     )
 
@@ -148,7 +174,7 @@ def repetition(c: Column | str) -> Column:
 
 def punctuation_density(c: Column | str) -> Column:
     c = _col(c)
-    return F.when(c == "", F.lit(0.0)).otherwise(chars_outside(c, "[^，。、；：！？,.;:!?]+") / F.length(c))
+    return F.when(c == "", F.lit(0.0)).otherwise(chars_of(c, "，。、；：！？,.;:!?") / F.length(c))
 
 
 def clause_variability(c: Column | str) -> Column:
@@ -169,7 +195,7 @@ def clause_variability(c: Column | str) -> Column:
 
 def function_word_density(c: Column | str) -> Column:
     c = _col(c)
-    return chars_outside(c, "[^" + V.FUNCTION_CHARS + "]+") / F.greatest(F.length(c), F.lit(1))
+    return chars_of(c, V.FUNCTION_CHARS) / F.greatest(F.length(c), F.lit(1))
 
 
 def style_features(c: Column | str) -> Column:
