@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scores import cosine
 from ..functions.text import LENGTH_GAP, drop_space, has_page_header, is_contaminated, is_heading, length_ratio_ok, let, strip_space
+from ..session import written
 from .align import aligned
 
 ORIGIN_ORDER = {"real": 0, "wechat_real": 1, "synth": 2}  # fixed values
@@ -22,11 +23,10 @@ def version_pairs(docs: DataFrame, title: str = "title", doc: str = "doc_id", sc
     Only extreme values travel; a title with any number of versions is reduced before the shuffle. The earlier document
     wins a tie for the highest, the later one for the lowest.
     """
-    top = F.max(F.struct(F.col(score).alias("s"), (-F.col(doc)).alias("d")))
-    low = F.min(F.struct(F.col(score).alias("s"), (-F.col(doc)).alias("d")))
-    out = docs.filter(F.col(title).isNotNull() & F.col(score).isNotNull()).groupBy(title).agg(
-        F.count("*").alias("n_versions"), top.alias("_hi"), low.alias("_lo")
-    )
+    one = F.when(F.col(score).isNotNull(), F.struct(F.col(score).alias("s"), (-F.col(doc)).alias("d")))
+    top, low = F.max(one), F.min(one)
+    # documents without a score are left out by the aggregates: a filter on it would be carried down to the scan, and make it twice
+    out = docs.filter(F.col(title).isNotNull()).groupBy(title).agg(F.count(score).alias("n_versions"), top.alias("_hi"), low.alias("_lo"))
     return out.filter((F.col("n_versions") >= 2) & (F.col("_hi.s") - F.col("_lo.s") >= min_gap)).select(
         title, "n_versions",
         (-F.col("_hi.d")).alias("hi_doc"), (-F.col("_lo.d")).alias("lo_doc"),
@@ -55,7 +55,8 @@ def best_match_pairs(src: DataFrame, tgt: DataFrame, pair: str = "pair_id", min_
     ``src(pair, i, sentence, p)`` and ``tgt(pair, j, sentence, p)``. One row per source text: the first by (pair, i).
     What the source sentence alone decides is asked before the alignment.
     """
-    src = src.filter((F.col("p") >= min_score) & ~has_page_header("sentence"))
+    src = written(src.filter((F.col("p") >= min_score) & ~has_page_header("sentence")), "sources")
+    tgt = written(tgt, "targets")
     rows = _pair_rows(aligned(src, tgt, min_sim, pair, pick="best"), src, tgt, pair)
     rows = rows.filter(
         length_ratio_ok("src_ai", "tgt_human")
@@ -75,7 +76,7 @@ def first_match_pairs(src: DataFrame, tgt: DataFrame, pair: str = "pair_id", min
     """
     if first is not None:
         src, tgt = src.filter(F.col("i") < first), tgt.filter(F.col("j") < first)
-    src = src.filter(F.col("p") >= min_score)
+    src, tgt = written(src.filter(F.col("p") >= min_score), "sources"), written(tgt, "targets")
     best = _pair_rows(aligned(src, tgt, min_sim, pair, pick="first", min_drop=min_drop, max_gap=LENGTH_GAP), src, tgt, pair)
     once = F.min(F.struct(pair, "i", "j", "tgt_human", "src_ai_prob", "tgt_ai_prob", "sim")).alias("r")
     return best.groupBy("src_ai").agg(once).select("src_ai", "r.*")

@@ -48,6 +48,13 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/textprov-{name}-{uuid.uuid4().hex}"
 
 
+def written(df, name: str):
+    """``df`` as a Parquet table in the shared folder: what reads it several times reads the columns it needs, and derives nothing again."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df):
     """Write ``df`` to the shared checkpoint folder and go on from the written copy."""
     spark = df.sparkSession
