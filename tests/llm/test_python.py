@@ -360,6 +360,33 @@ def test_quality_of_rows_that_are_dealt_anew_when_read(spark, documents):
     assert as_rows((r.id, r.n_bytes, r.perplexity) for r in got) == as_rows((i, len(t.encode()), w) for (i, t), w in zip(rows, want))
 
 
+def test_quality_in_turns_and_shards(spark, documents, monkeypatch):
+    """Many shards and turns give the brute-force model too, and leave no table behind."""
+    from textprov.llm import kneser_ney as one
+
+    monkeypatch.setattr(one, "SHARD_BYTES", 20_000)
+    docs = documents.filter("doc_id < 60").withColumn("doc_id", F.when(F.col("doc_id") % 7 > 0, F.col("doc_id")))
+    trusted = spark.createDataFrame([(i, i % 3 != 0) for i in range(0, 60, 2)], "id long, trains boolean")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute_perplexities([t for _, t in rows], [t for i, t in rows if i is not None and i % 2 == 0 and i % 3 != 0], 3)
+    before = {t.name for t in spark.catalog.listTables()}
+    got = perplexities(docs, trusted, order=3, chunk_bytes=20_000, turn_bytes=20_000)
+    as_rows = lambda found: sorted((-1 if i is None else i, n, round(p, 4)) for i, n, p in found)
+    assert as_rows((r.id, r.n_bytes, r.perplexity) for r in got.collect()) == as_rows((i, len(t.encode()), w) for (i, t), w in zip(rows, want))
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_quality_keys_travel_in_few_bytes():
+    """A sorted key takes under 7 bytes (a row of the word model took six longs), and comes back as it was."""
+    from textprov.llm import kneser_ney as one
+
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 200_000, np.uint64, endpoint=False))
+    packed = one._pack(keys, True)
+    assert len(packed) < 7 * len(keys) and (one._unpack(packed, True) == keys).all()
+    for few in (keys[:0], keys[:1], np.array([0, 0, 5], np.uint64), np.array([255, 256], np.uint64)):
+        assert one._unpack(one._pack(few, True), True).tolist() == few.tolist() and one._unpack(one._pack(few[::-1])).tolist() == few[::-1].tolist()
+
+
 def test_quality_cases(spark, odd, empty):
     trusted = spark.createDataFrame([(1, True), (7, False), (5, True), (None, True)], "id long, trains boolean")
     rows = classified(odd, trusted).collect()
